@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
-from paneltide.functions.skew import GROUP_LIMIT, split_by_size
+from paneltide.functions.skew import GROUP_LIMIT, by_group_size
 
 # Buckets per factor of e in magnitude: values within 0.1 % share a bucket.
 RESOLUTION = 1024
@@ -210,8 +210,11 @@ def quantiles(
     df = df.select(*every, *[v for v in values if v not in every])
     for g in every:
         df = df.where(F.col(g).isNotNull())
-    few, many = split_by_size(df, every, limit)
-    out = _gathered(few, every, values, probs, mad).unionByName(
-        _by_rank(many, every, values, probs, mad)
+    out = by_group_size(
+        df,
+        every,
+        small=lambda rows: _gathered(rows, every, values, probs, mad),
+        large=lambda rows: _by_rank(rows, every, values, probs, mad),
+        limit=limit,
     )
     return out if groups else out.drop("_all")

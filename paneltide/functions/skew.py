@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,22 +11,28 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 250_000
 
 
-def split_by_size(
-    df: DataFrame, groups: Sequence[str], limit: int = GROUP_LIMIT
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups with at most ``limit`` rows, and all other rows.
+def by_group_size(
+    df: DataFrame,
+    groups: Sequence[str],
+    small: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame], DataFrame],
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Apply ``small`` to rows of groups of at most ``limit`` rows, ``large`` to the rest.
 
-    The list of large groups is counted with map-side combining and broadcast;
-    it cannot be longer than ``rows / limit``. When it is empty, adaptive
-    execution drops everything built on the second frame. Rows with a null in
-    ``groups`` go with the small groups.
+    Group sizes are counted first, with map-side combining, over the group
+    columns only. The list of large groups cannot be longer than ``rows / limit``,
+    so it is safe to broadcast; when it is empty the plan has no second branch.
+    Rows with a null in ``groups`` go with the small groups.
     """
-    large = (
+    oversized = (
         df.groupBy(*groups)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > limit)
         .select(*groups)
     )
-    small_rows = df.join(F.broadcast(large), list(groups), "left_anti")
-    large_rows = df.join(F.broadcast(large), list(groups), "left_semi")
-    return small_rows, large_rows
+    if oversized.isEmpty():
+        return small(df)
+    listed = F.broadcast(oversized)
+    few = small(df.join(listed, list(groups), "left_anti"))
+    return few.unionByName(large(df.join(listed, list(groups), "left_semi")))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
-from paneltide.functions.positions import BLOCK_ROWS, with_blocks, with_positions
+from paneltide.functions.positions import BLOCK_ROWS, in_time, positions_by_day, with_blocks
 from paneltide.functions.quantiles import quantiles
-from paneltide.functions.skew import GROUP_LIMIT, split_by_size
+from paneltide.functions.skew import GROUP_LIMIT, by_group_size
+from paneltide.session import materialized
 from paneltide.spec import MAD_SCALE, WEATHER, Z_THRESHOLD, PanelSpec, present
 
 MAX_STEPS = 2
@@ -67,8 +68,8 @@ def _neighbours_in_series(
     df: DataFrame, columns: Sequence[str], spec: PanelSpec
 ) -> DataFrame:
     series = Window.partitionBy(*spec.keys)
-    order = [F.col(spec.time).asc_nulls_last(), *spec.order]
-    placed = df.withColumn("_pos", F.row_number().over(series.orderBy(*order)).cast("long") - 1)
+    number = F.row_number().over(series.orderBy(*in_time(spec)))
+    placed = df.withColumn("_pos", number.cast("long") - 1)
     upto = series.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     onward = series.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     near = {k: e for c in columns for k, e in _near(c, upto, onward).items()}
@@ -80,7 +81,7 @@ def _neighbours_in_blocks(
 ) -> DataFrame:
     """Same columns for series of any length: what lies outside a row's block is
     carried in from per-block first and last known readings."""
-    blocks = with_blocks(with_positions(df, spec, limit=0).drop("_len"), block_rows)
+    blocks = with_blocks(positions_by_day(df, spec).drop("_len"), block_rows)
     block = [*spec.keys, "_block"]
 
     def known(c: str) -> Column:
@@ -162,9 +163,12 @@ def impute_missing(
     pollutants = present(df, spec.pollutants)
     gappy = [*continuous, *pollutants]
     numeric = df.withColumns({c: F.col(c).cast("double") for c in gappy})
-    small, large = split_by_size(numeric, spec.keys, limit)
-    filled = _neighbours_in_series(small, gappy, spec).unionByName(
-        _neighbours_in_blocks(large, gappy, spec, block_rows)
+    filled = by_group_size(
+        numeric,
+        spec.keys,
+        small=lambda rows: _neighbours_in_series(rows, gappy, spec),
+        large=lambda rows: _neighbours_in_blocks(rows, gappy, spec, block_rows),
+        limit=limit,
     )
     changes = {c: F.coalesce(c, F.lit(0.0)) for c in zero}
     changes |= {c: _filled_both_ways(c) for c in continuous}
@@ -242,10 +246,11 @@ def validate_clean(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
 
 
 def clean(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
-    """Deduplicate, gate, impute and flag; lazy. Check with :func:`validate_clean`."""
-    return (
-        df.transform(dedup, spec)
-        .transform(gate_bounds, spec)
-        .transform(impute_missing, spec)
-        .transform(flag_outliers, spec)
-    )
+    """Deduplicate, gate, impute, flag and check.
+
+    The gated, the imputed and the flagged panel are each read several times, so
+    they are written once to the session's checkpoint folder.
+    """
+    gated = materialized(df.transform(dedup, spec).transform(gate_bounds, spec))
+    filled = materialized(impute_missing(gated, spec))
+    return validate_clean(materialized(flag_outliers(filled, spec)), spec)

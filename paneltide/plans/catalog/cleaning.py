@@ -20,7 +20,7 @@ def _kinds(columns, kind):
     "coerce_types",
     sql(
         "",
-        f"{_ID} {_kinds(METRICS + CONCENTRATIONS, 'f')} {_kinds(INDICES, 'i')} condition_text:s",
+        f"{_ID} {_kinds(METRICS + CONCENTRATIONS, 'f')} {_kinds(INDICES, 'f')} condition_text:s",
         "panel",
     ),
 )
@@ -31,7 +31,8 @@ def coerce_types(spark, sf):
     wanted = [*_KEYS, *METRICS, *CONCENTRATIONS, *INDICES, "condition_text"]
     raw_text = text.select(*[F.col(c).cast("string") for c in wanted])
     shouted = raw_text.toDF(*[c.upper().replace("_", " ") for c in wanted])
-    return raw.validate(raw.coerce_types(raw.normalize_columns(shouted), PANEL), PANEL)
+    typed = raw.validate(raw.coerce_types(raw.normalize_columns(shouted), PANEL), PANEL)
+    return _wide_indices(typed)
 
 
 @query(
@@ -121,18 +122,24 @@ imputed as (select country, location_name, last_updated, region_name, latitude,
   {", ".join(f"cast({c} is null as int) as {c}_was_missing" for c in CONCENTRATIONS + INDICES)} from near)"""
 
 _IMPUTED_OUT = (
-    f"{_ID} {_kinds(METRICS + CONCENTRATIONS, 'f')} {_kinds(INDICES, 'i')} "
+    f"{_ID} {_kinds(METRICS + CONCENTRATIONS, 'f')} {_kinds(INDICES, 'f')} "
     f"{_kinds([c + '_was_missing' for c in CONCENTRATIONS + INDICES], 'i')} condition_text:s"
 )
 
 
+def _wide_indices(df):
+    """Nullable integers compare most simply as doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c in INDICES})
+
+
 def _names(columns):
     return [item.rsplit(":", 1)[0] for item in columns.split()]
 
 
 @query("impute_missing", sql(IMPUTED, _IMPUTED_OUT, "imputed"))
 def impute_missing(spark, sf):
-    return op.impute_missing(gated(spark, sf), PANEL).select(*_names(_IMPUTED_OUT))
+    filled = op.impute_missing(gated(spark, sf), PANEL)
+    return _wide_indices(filled).select(*_names(_IMPUTED_OUT))
 
 
 def _flag_ctes(source):
@@ -162,7 +169,8 @@ def flag_outliers(spark, sf):
     sql(f"{IMPUTED}, {_flag_ctes('imputed')}", f"{_IMPUTED_OUT} {_kinds(_FLAGS, 'b')}", "flagged"),
 )
 def clean_panel(spark, sf):
-    return op.clean(panel(spark, sf), PANEL).select(*_names(_IMPUTED_OUT), *_FLAGS)
+    done = op.clean(panel(spark, sf), PANEL)
+    return _wide_indices(done).select(*_names(_IMPUTED_OUT), *_FLAGS)
 
 
 _RANGES = [

@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,7 +32,7 @@ def cells(frame) -> list[tuple]:
     columns = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
         return repr(v.item() if hasattr(v, "item") else v)
 
