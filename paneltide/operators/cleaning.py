@@ -25,19 +25,34 @@ def collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def last_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], tie_break: bool
+) -> DataFrame:
+    """The row of each key that comes last by ``order``, combined on the map side.
+
+    Columns nobody reads later are pruned away, unless ``tie_break`` says that
+    ``order`` alone is not total: then the remaining columns decide as well.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if tie_break:
+        row = F.max(F.struct(*order, *rest)).alias("_last")
+        chosen = df.groupBy(*keys).agg(row)
+        return chosen.select(*[c if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
+    place = F.struct(*order)
+    chosen = df.groupBy(*keys).agg(
+        F.max(place).alias("_last"), *[F.max_by(c, place).alias(c) for c in rest]
+    )
+    return chosen.select(*[F.col("_last")[c].alias(c) if c in order else c for c in df.columns])
+
+
 def dedup(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
     """Drop exact copies, then keep the last row of each key and time.
 
-    "Last" follows ``spec.order``; rows still tied are ordered by their other
-    columns, so the result does not depend on file or task order. Both steps
-    combine on the map side, so one heavily repeated key stays cheap.
+    "Last" follows ``spec.order``. Without one, all other columns decide, so the
+    result never depends on file or task order. One heavily repeated key stays
+    cheap because rows combine before the shuffle.
     """
-    rest = [c for c in df.columns if c not in spec.grain and c not in spec.order]
-    ranked = F.struct(*spec.order, *rest)
-    last = df.distinct().groupBy(*spec.grain).agg(F.max(ranked).alias("_last"))
-    return last.select(
-        *[c if c in spec.grain else F.col("_last")[c].alias(c) for c in df.columns]
-    )
+    return last_rows(df, spec.grain, spec.order, tie_break=not spec.order)
 
 
 def gate_bounds(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:

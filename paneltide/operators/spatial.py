@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paneltide.functions.joins import attach
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.scalar import air_quality_label
+from paneltide.operators.cleaning import last_rows
 from paneltide.operators.profiling import top_and_bottom
 from paneltide.operators.regions import add_continent, ensure_region
 from paneltide.spec import WEATHER, PanelSpec, present
@@ -17,14 +18,8 @@ from paneltide.spec import WEATHER, PanelSpec, present
 
 def latest_snapshot(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
     """The most recent row of each series; combined on the map side, no sort."""
-    rest = [c for c in df.columns if c not in spec.grain and c not in spec.order]
-    newest = F.max(F.struct(spec.time, *spec.order, *rest)).alias("_row")
-    return (
-        df.where(F.col(spec.time).isNotNull())
-        .groupBy(*spec.keys)
-        .agg(newest)
-        .select(*[c if c in spec.keys else F.col("_row")[c].alias(c) for c in df.columns])
-    )
+    timed = df.where(F.col(spec.time).isNotNull())
+    return last_rows(timed, spec.keys, [spec.time, *spec.order], tie_break=not spec.order)
 
 
 def valid_geo(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
