@@ -1,6 +1,14 @@
 """Every operator bound to the benchmark tables, with a checking statement where SQL can say it."""
 
-from paneltide.plans.catalog import charts, cleaning, features, profiling, regional
+from paneltide.plans.catalog import (
+    anomalies,
+    charts,
+    cleaning,
+    features,
+    forecasting,
+    profiling,
+    regional,
+)
 from paneltide.plans.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "charts", "cleaning", "features", "profiling", "regional"]
+__all__ = ["ORACLES", "QUERIES", "anomalies", "charts", "cleaning", "features", "forecasting", "profiling", "regional"]
