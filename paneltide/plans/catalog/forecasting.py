@@ -185,7 +185,7 @@ fp as (select 'naive' as model, {_K}, last_day, h, last_y as yhat from fh
   union all select 'climatology', s.region_name, s.condition_text, s.last_day, h, coalesce(c.y, mean_y)
     from fh s left join fd c on s.region_name = c.region_name and s.condition_text = c.condition_text
       and c.doy = dayofyear(s.last_day + cast(h as int))),
-r as (select {_K}, last_day + cast(h as int) as date, h as horizon_day, round_even(round(sum(weight * yhat) / sum(weight), 9), 2)
+r as (select {_K}, last_day + cast(h as int) as date, h as horizon_day, round_even(round(sum(weight * yhat) / sum(weight), 9) * 100, 0) / 100
   as forecast_temperature_celsius, 'inverse_error_ensemble' as model from fp join weights using (model) group by all)"""
 )
 
