@@ -6,9 +6,10 @@ from paneltide.plans.catalog import (
     cleaning,
     features,
     forecasting,
+    learning,
     profiling,
     regional,
 )
 from paneltide.plans.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "anomalies", "charts", "cleaning", "features", "forecasting", "profiling", "regional"]
+__all__ = ["ORACLES", "QUERIES", "anomalies", "charts", "cleaning", "features", "forecasting", "learning", "profiling", "regional"]
