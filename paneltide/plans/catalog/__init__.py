@@ -12,4 +12,15 @@ from paneltide.plans.catalog import (
 )
 from paneltide.plans.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "anomalies", "charts", "cleaning", "features", "forecasting", "learning", "profiling", "regional"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "anomalies",
+    "charts",
+    "cleaning",
+    "features",
+    "forecasting",
+    "learning",
+    "profiling",
+    "regional",
+]
