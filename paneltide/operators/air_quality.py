@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.scalar import AIR_QUALITY_LABELS, air_quality_label
 from paneltide.operators.regions import ensure_region
+from paneltide.session import materialized
 from paneltide.spec import WEATHER, PanelSpec
 
 
@@ -61,7 +62,7 @@ def binned_median(
     Bins are closed on the right and cut at exact linear quantiles; equal cuts merge.
     """
     drivers = [d for d in drivers if d in df.columns]
-    pairs = (
+    pairs = materialized(
         df.select(
             F.col(pollutant).alias("y"),
             F.inline(

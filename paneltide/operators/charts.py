@@ -62,7 +62,9 @@ def kernel_density(df: DataFrame, value: str, group: str, points: int = 200) ->
     )
     spread = attach(counts, stats, [group], spread=["v"], how="inner")
     variance = spread.groupBy(group).agg(
-        (F.sum(n * (v - F.col("_mean")) ** 2) / (F.max("_total") - 1)).alias("_var")
+        (
+            F.sum(n * (v - F.col("_mean")) ** 2) / F.nullif(F.max("_total") - 1, F.lit(0))
+        ).alias("_var")
     )
     shape = stats.join(variance, group).where("_var > 0").withColumn(
         "_h", F.sqrt("_var") * F.pow(F.col("_total"), F.lit(-0.2))

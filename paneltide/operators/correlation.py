@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
 from paneltide.functions.quantiles import ranks_of_counts
+from paneltide.session import materialized
 
 # Weather columns set against pollutants, and the fewest rows a cell needs.
 WEATHER_DRIVERS = (
@@ -28,17 +29,20 @@ Pairs = Sequence[tuple[str, str]]
 
 def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
     """``(x, y, n, pearson)`` for every pair, in one pass over the table."""
-    cells = [
-        F.struct(
+
+    def cell(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.struct(
             F.lit(a).alias("x"),
             F.lit(b).alias("y"),
-            F.count(F.when(F.col(b).isNotNull(), F.col(a))).alias("n"),
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"),
+            F.count(F.when(y.isNotNull(), x)).alias("n"),
+            F.when(spread > 0, F.covar_pop(x, y) / spread).alias("pearson"),
         )
-        for a, b in pairs
-    ]
+
+    cells = [cell(a, b) for a, b in pairs]
     one_row = df.agg(F.array(*cells).alias("_cells"))
-    return one_row.select(F.inline("_cells")).withColumn("pearson", F.nanvl("pearson", F.lit(None)))
+    return one_row.select(F.inline("_cells"))
 
 
 def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
@@ -59,7 +63,7 @@ def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
             for a, b in pairs
         ]
     )
-    joint = (
+    joint = materialized(
         df.select(F.inline(cells))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
         .groupBy(*pair, "a", "b")
