@@ -10,10 +10,16 @@ def test_whole_run_writes_every_result(spark, tmp_path):
         "xgb_global": boosted_trees(rounds=2, step=0.3, depth=3),
         "lgbm_global": random_forest(trees=3, depth=4),
     }
+    spec = PANEL.but(
+        metrics=("temperature_celsius", "humidity", "precip_mm", "wind_kph"),
+        concentrations=("air_quality_pm2_5",),
+        indices=("air_quality_us_epa_index",),
+        exogenous=("humidity",),
+    )
     paths = run_all(
         panel(spark, SF),
         str(tmp_path),
-        PANEL,
+        spec,
         country_regions(spark, SF),
         factories,
         n_series=3,
