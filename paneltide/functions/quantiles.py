@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
 from paneltide.functions.skew import GROUP_LIMIT, by_group_size
+from paneltide.session import materialized
 
 # Buckets per factor of e in magnitude: values within 0.1 % share a bucket.
 RESOLUTION = 1024
@@ -167,7 +168,8 @@ def _by_rank(
 ) -> DataFrame:
     """Quantiles of groups of any size, through ranks."""
     cells = [*groups, "column"]
-    counts = value_counts(df, groups, values)
+    # Read several times below, and only large groups come here.
+    counts = materialized(value_counts(df, groups, values))
     wanted = dict(probs) | ({"_med": 0.5} if mad else {})
     long = quantiles_of_counts(counts, cells, wanted).withColumnRenamed("total", "n")
     stats = ["n", *probs]

@@ -97,19 +97,18 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return both.withColumn("abs_diff", F.abs(F.col("spearman") - F.col("pearson")))
 
 
-def square(correlation: DataFrame, value: str) -> DataFrame:
-    """Full symmetric matrix, one row and one column per variable."""
-    there = correlation.select("x", "y", F.col(value).alias("v"))
-    back = correlation.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col(value).alias("v"))
-    same = there.select("x").union(there.select("y")).distinct()
-    diagonal = same.select("x", F.col("x").alias("y"), F.lit(1.0).alias("v"))
-    return (
-        there.unionByName(back)
-        .unionByName(diagonal)
-        .groupBy(F.col("x").alias("variable"))
-        .pivot("y")
+def square(correlation: DataFrame, value: str, columns: Sequence[str]) -> DataFrame:
+    """Full symmetric matrix over ``columns``, one row and one column per variable."""
+    there = F.struct(F.col("x").alias("variable"), F.col("y").alias("other"), F.col(value).alias("v"))
+    back = F.struct(F.col("y").alias("variable"), F.col("x").alias("other"), F.col(value).alias("v"))
+    wide = (
+        correlation.select(F.inline(F.array(there, back)))
+        .groupBy("variable")
+        .pivot("other", list(columns))
         .agg(F.first("v"))
     )
+    same = {c: F.when(F.col("variable") == c, F.lit(1.0)).otherwise(F.col(c)) for c in columns}
+    return wide.withColumns(same)
 
 
 def weather_pollutant_correlation(

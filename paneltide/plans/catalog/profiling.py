@@ -179,7 +179,7 @@ r as (select x as variable, {_SQUARE} from f group by x)""",
     ),
 )
 def correlation_matrix(spark, sf):
-    return correlation.square(correlation.pearson(gated(spark, sf), _PAIRS), "pearson")
+    return correlation.square(correlation.pearson(gated(spark, sf), _PAIRS), "pearson", _COLUMNS)
 
 
 _WEATHER = ["wind_kph", "precip_mm", "humidity", "pressure_mb"]
