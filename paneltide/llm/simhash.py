@@ -80,7 +80,8 @@ def with_fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprin
 
 def stars(members: np.ndarray, radius: int) -> np.ndarray:
     """For each member the smallest one it reaches through links among ``members``."""
-    linked = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
+    bits = members.view(np.uint64)  # counted on signed numbers, the sign would go astray
+    linked = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = members.copy()
     most = np.iinfo(members.dtype).max
     while True:
