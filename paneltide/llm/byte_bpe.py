@@ -8,10 +8,14 @@
    ids go back to the blocks that asked.
 3. Ids and positions of a block are joined and every text is put together by position.
 
-Step 1 is written to the shared folder, so the random block names are drawn once and a
-lost executor re-reads them. A word occurs once per block, however frequent it is, so no
-bucket grows with a frequent word; the number of buckets follows the session's shuffle
-partitions. Memory: one block's word list, or one bucket's distinct words.
+One exchange carries both kinds of rows of step 1, by bucket or by block, and is read twice:
+by step 2, and by step 3, whose documents are then where their ids arrive. A block is named
+by its task, its place in the task and its content, so a task that runs again after the
+loss of an executor makes the same rows, provided that its input comes in the same
+order, as from a table; ``encode`` says how to treat other inputs. A word occurs once per
+block, however frequent it is, so no bucket grows with a frequent word; the number of
+buckets follows the session's shuffle partitions. Memory: one block's word list and
+positions, or one bucket's distinct words.
 
 Decoding looks each id up in the token-byte table, which is a vocabulary file of at most
 ``MAX_TOKENS`` entries and is therefore sent to every task.
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +101,8 @@ def _words_open(data: bytes) -> list[bytes]:
 
 
 _META = T.StructType([
-    T.StructField("_block", T.BinaryType()),
-    T.StructField("_bucket", T.LongType()),  # null for a row of ``docs``
+    T.StructField("_key", T.BinaryType()),  # the block of a document, the bucket of words
+    T.StructField("_block", T.BinaryType()),  # of words; null for a document
     T.StructField("_payload", T.BinaryType()),
 ])
 
@@ -111,17 +115,20 @@ def _pre_tokenized(docs: DataFrame, text: str, pattern: str, buckets: int, block
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         arrow_kind = None
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             if arrow_kind is None:
                 fields = [batch.schema.field(f.name) for f in carried]
                 arrow_kind = pa.struct(fields)
             for start, end in slices(texts, block_bytes):
-                block = uuid.uuid4().bytes
+                content = xxhash.xxh3_128()
                 number: dict[str, int] = {}
                 payloads = []
                 for value in texts.slice(start, end - start):
-                    cut = find(value.as_py() or "")
+                    one = value.as_py() or ""
+                    content.update(one)
+                    cut = find(one)
                     known = len(number)
                     local = np.fromiter((number.setdefault(w, len(number)) for w in cut), dtype=np.int64, count=len(cut))
                     # a word's first place in the block is 0: the next number; others are one more
@@ -129,43 +136,46 @@ def _pre_tokenized(docs: DataFrame, text: str, pattern: str, buckets: int, block
                     fresh = np.flatnonzero(local >= known)
                     first[fresh[np.unique(local[fresh], return_index=True)[1]]] = True
                     payloads.append(struct.pack("<I", known) + _plane_pack(np.where(first, 0, local + 1)))
+                block = struct.pack("<cQQ", b"d", task, made) + content.digest()
+                made += 1
                 part = batch.slice(start, end - start)
                 docs_of = pa.StructArray.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in carried], fields=list(arrow_kind)) if carried else pa.nulls(end - start, arrow_kind)
                 n = end - start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(payloads, pa.binary()), docs_of], schema.names
+                    [pa.array([block] * n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(payloads, pa.binary()), docs_of], schema.names
                 )
                 words = [w.encode() for w in number]
                 by = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
                 order = np.argsort(by, kind="stable")
                 cuts = np.flatnonzero(np.diff(by[order])) + 1
                 groups = np.split(order, cuts) if len(words) else []
-                rows_block, rows_bucket, rows_payload = [], [], []
+                rows_key, rows_payload = [], []
                 for g in groups:
-                    rows_block.append(block)
-                    rows_bucket.append(int(by[g[0]]))
+                    rows_key.append(struct.pack("<cQ", b"w", int(by[g[0]])))
                     mine = _words_pack([words[k] for k in g.tolist()])
                     rows_payload.append(struct.pack("<I", len(mine)) + mine + _plane_pack(np.diff(g, prepend=0)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows_block, pa.binary()), pa.array(rows_bucket, pa.int64()), pa.array(rows_payload, pa.binary()), pa.nulls(len(groups), arrow_kind)], schema.names
+                    [pa.array(rows_key, pa.binary()), pa.array([block] * len(groups), pa.binary()), pa.array(rows_payload, pa.binary()), pa.nulls(len(groups), arrow_kind)], schema.names
                 )
 
     return docs.mapInArrow(run, schema)
 
 
-def _encoded_words(words: DataFrame, vocabulary) -> DataFrame:
-    """Each distinct word of a bucket encoded once; the ids go back by block."""
-    schema = words.schema
+def _encoded_words(rows: DataFrame, vocabulary) -> DataFrame:
+    """Each distinct word of a bucket encoded once; the ids go back by block: (_key, _payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = vocabulary.value.encoding()._core_bpe.encode_single_piece
         bucket, known = None, {}
         for batch in batches:
-            payloads = []
-            for b, payload in zip(batch.column(1).to_pylist(), batch.column(2)):
-                raw = payload.as_py()
-                if b != bucket:
-                    bucket, known = b, {}
+            keys, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, payloads = [], []
+            for k, (key, block) in enumerate(zip(keys, blocks)):
+                if block is None:
+                    continue
+                if key != bucket:
+                    bucket, known = key, {}
+                raw = batch.column(2)[k].as_py()
                 size = struct.unpack_from("<I", raw)[0]
                 ids = []
                 for w in _words_open(raw[4 : 4 + size]):
@@ -175,10 +185,28 @@ def _encoded_words(words: DataFrame, vocabulary) -> DataFrame:
                     ids.append(got)
                 flat = _plane_pack(np.array([x for y in ids for x in y], dtype=np.int64))
                 counts = _plane_pack(np.array([len(y) for y in ids], dtype=np.int64))
+                names.append(block)
                 payloads.append(struct.pack("<II", len(counts), len(flat)) + counts + flat + raw[4 + size :])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary())], schema.names[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(payloads, pa.binary())], ["_key", "_payload"])
+
+    return rows.mapInArrow(run, "_key binary, _payload binary")
 
-    return words.select("_block", "_bucket", "_payload").mapInArrow(run, T.StructType(schema.fields[:3]))
+
+def _word_ids(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids one after another, and by word number where its ids start and how many they are."""
+    parts = []
+    for payload in replies:
+        n, m = struct.unpack_from("<II", payload)
+        where = np.cumsum(_plane_open(payload[8 + n + m :]).astype(np.int64))
+        parts.append((_plane_open(payload[8 : 8 + n]).astype(np.int64), _plane_open(payload[8 + n : 8 + n + m]), where))
+    many = sum(len(p[2]) for p in parts)
+    counts, starts, base = np.zeros(many, np.int64), np.zeros(many, np.int64), 0
+    for size, own, where in parts:
+        counts[where] = size
+        starts[where] = base + np.cumsum(size) - size
+        base += len(own)
+    flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, "<u4")
+    return flat, starts, counts
 
 
 def encode(
@@ -188,59 +216,47 @@ def encode(
     text: str = "text",
     ids: str = "ids",
     block_bytes: int = BLOCK_BYTES,
+    settle: bool = False,
 ) -> DataFrame:
-    """``docs`` with its text replaced by token ids: ``ids``, little-endian unsigned 32-bit numbers."""
+    """``docs`` with its text replaced by token ids: ``ids``, little-endian unsigned 32-bit numbers.
+
+    Where ``docs`` is not a table but the result of a shuffle, whose rows may come in another
+    order when a task is run again, ``settle`` writes it to the shared folder first.
+    """
     spark = docs.sparkSession
     docs = docs.drop(ids) if ids in docs.columns and ids != text else docs
+    docs = materialized(docs) if settle else docs
     shared = spark.sparkContext.broadcast(vocabulary)  # at most MAX_TOKENS tokens
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialized(_pre_tokenized(docs, text, vocabulary.pattern, BUCKETS * partitions, block_bytes))
-    words = cut.where("_bucket is not null").repartition(partitions, "_bucket").sortWithinPartitions("_bucket")
-    back = _encoded_words(words, shared).withColumn("_doc", F.lit(None).cast(cut.schema["_doc"].dataType))
-    rows = back.select(*cut.columns).union(cut.where("_bucket is null"))
-    rows = rows.repartition(partitions, "_block").sortWithinPartitions("_block", F.col("_bucket").asc_nulls_last())
+    cut = _pre_tokenized(docs, text, vocabulary.pattern, BUCKETS * partitions, block_bytes)
+    # both readers take all rows and columns, so that Spark runs and keeps this exchange once
+    rows = cut.repartition(partitions, "_key").sortWithinPartitions("_key")
+    replies = _encoded_words(rows, shared)
     carried = cut.schema["_doc"].dataType.fields
     schema = T.StructType([T.StructField("_doc", T.StructType(carried)), T.StructField(ids, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, pending, flat, counts, starts = None, [], None, None, None
-        for batch in batches:
-            at, out = [], []
-            for k, (b, bucket, payload) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
-                if b != block:
-                    block, pending, flat = b, [], None
-                if bucket is not None:
-                    n, m = struct.unpack_from("<II", payload)
-                    pending.append((
-                        _plane_open(payload[8 : 8 + n]).astype(np.int64),
-                        _plane_open(payload[8 + n : 8 + n + m]),
-                        np.cumsum(_plane_open(payload[8 + n + m :]).astype(np.int64)),
-                    ))
-                    continue
-                if flat is None:
-                    many = sum(len(p[2]) for p in pending)
-                    counts, starts = np.zeros(many, np.int64), np.zeros(many, np.int64)
-                    base = 0
-                    for size, own, where in pending:
-                        counts[where] = size
-                        starts[where] = base + np.cumsum(size) - size
-                        base += len(own)
-                    flat = np.concatenate([p[1] for p in pending]) if pending else np.zeros(0, "<u4")
-                    pending = []
-                known = struct.unpack_from("<I", payload)[0]
-                place = _plane_open(payload[4:]).astype(np.int64) - 1
-                new = np.flatnonzero(place < 0)
-                place[new] = known + np.arange(len(new))
-                size = counts[place]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                step = np.arange(total) - np.repeat(ends - size, size) + np.repeat(starts[place], size)
-                at.append(k)
-                out.append(flat[step].astype("<u4").tobytes())
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(at)), pa.array(out, pa.binary())], schema.names)
-
-    return rows.mapInArrow(run, schema).select("_doc.*", ids)
+    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        at, out = [], []
+        kept = np.flatnonzero([b is None for b in left.column("_block").to_pylist()]).tolist()
+        if kept:
+            flat, starts, counts = _word_ids(right.column("_payload").to_pylist())
+        for k in kept:
+            payload = left.column("_payload")[k].as_py()
+            known = struct.unpack_from("<I", payload)[0]
+            place = _plane_open(payload[4:]).astype(np.int64) - 1
+            new = np.flatnonzero(place < 0)
+            place[new] = known + np.arange(len(new))
+            size = counts[place]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            step = np.arange(total) - np.repeat(ends - size, size) + np.repeat(starts[place], size)
+            at.append(k)
+            out.append(flat[step].astype("<u4").tobytes())
+        return pa.table({"_doc": left.column("_doc").take(pa.array(at, pa.int64())), ids: pa.array(out, pa.binary())})
+
+    both = rows.groupBy("_key").cogroup(replies.groupBy("_key"))
+    return both.applyInArrow(assembled, schema).select("_doc.*", ids)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", name: str = "decoded") -> DataFrame:
