@@ -31,6 +31,8 @@ STEPS = 4
 LEAST = 200
 #: Cut for the squared distance, scaled so that its median is that of chi-square.
 LIMIT = 80.0
+#: Groups up to which their estimates are sent to every task, about 200 bytes each.
+MANY = 20_000
 #: Median of the chi-square distribution with five degrees of freedom.
 MEDIAN = 4.351460191095526
 #: Bins of the logarithm of a number for each doubling.
@@ -155,7 +157,7 @@ def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     tall = rows.select(*keys, F.posexplode(F.array(*VECTOR)).alias("_i", "_x"))
     by = [*keys, "_i"]
     median = materialized(_quantile(tall, by, F.col("_x"), 0.5, "_m", 1 / 64))
-    near = tall.join(median, by)
+    near = tall.join(_small(median), by)
     spread = _quantile(near, by, F.abs(F.col("_x") - F.col("_m")), 0.5, "_d", 1 / 64)
     pick = [F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"m{i}") for i in range(D)]
     pick += [F.max(F.when(F.col("_i") == i, F.col("_d") * 1.4826 + FLOOR[i])).alias(f"l{i}{i}") for i in range(D)]
@@ -163,6 +165,11 @@ def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     return median.join(spread, by).groupBy(*keys).agg(*pick).select("*", *zeros)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table of groups, sent to every task while it is small; else Spark joins it by key."""
+    return F.broadcast(table) if table.limit(MANY + 1).count() <= MANY else table
+
+
 def covariance_estimates(rows: DataFrame, keys: list[str], steps: int = STEPS, core: float = CORE) -> DataFrame:
     """Per group the means, the factor and the distance scale after the concentration steps.
 
@@ -172,11 +179,11 @@ def covariance_estimates(rows: DataFrame, keys: list[str], steps: int = STEPS, c
     log2 = F.log2(F.greatest(_squared_distance(), F.lit(1e-9)))
     now = materialized(_start(rows, keys))
     for _ in range(steps):
-        placed = rows.join(now, keys).select(*keys, *VECTOR, log2.alias("_far"))
-        edge = _quantile(placed, keys, F.col("_far"), core, "_edge", 1 / FINE)
-        inner = placed.join(edge, keys).where("_far < _edge")
+        placed = rows.join(_small(now), keys).select(*keys, *VECTOR, log2.alias("_far"))
+        edge = materialized(_quantile(placed, keys, F.col("_far"), core, "_edge", 1 / FINE))
+        inner = placed.join(_small(edge), keys).where("_far < _edge")
         now = materialized(_factored(_moments(inner, keys), keys))
-    placed = rows.join(now, keys).select(*keys, log2.alias("_far"))
+    placed = rows.join(_small(now), keys).select(*keys, log2.alias("_far"))
     scale = _quantile(placed, keys, F.col("_far"), 0.5, "_mid", 1 / FINE)
     return materialized(now.join(scale, keys).withColumn("scale", F.greatest(F.pow(F.lit(2.0), "_mid") / MEDIAN, F.lit(1.0))).drop("_mid"))
 
@@ -212,8 +219,8 @@ def judged(
     large = sizes.where(F.col("_n") >= least).select("_lang", "_source")
     langs = sizes.groupBy("_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select("_lang")
     every = sizes.agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select(F.lit(True).alias("_every"))
-    levels = rows.join(large, ["_lang", "_source"]).select(F.col("_lang").alias("_g"), F.col("_source").alias("_h"), *VECTOR)
-    levels = levels.union(rows.join(langs, "_lang").select("_lang", F.lit("*"), *VECTOR))
+    levels = rows.join(_small(large), ["_lang", "_source"]).select(F.col("_lang").alias("_g"), F.col("_source").alias("_h"), *VECTOR)
+    levels = levels.union(rows.join(_small(langs), "_lang").select("_lang", F.lit("*"), *VECTOR))
     if not every.isEmpty():
         levels = levels.union(rows.select(F.lit("*"), F.lit("*"), *VECTOR))
     found = covariance_estimates(materialized(levels), ["_g", "_h"])
@@ -230,7 +237,7 @@ def judged(
         )
     )
     chosen = materialized(use.join(found, ["_g", "_h"], "left").drop("_g", "_h"))
-    out = stats.join(chosen, ["_lang", "_source"])
+    out = stats.join(_small(chosen), ["_lang", "_source"])
     out = out.withColumn("distance", _squared_distance() / F.col("scale"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
