@@ -116,11 +116,15 @@ def _card(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
-    plain = "".join(c for c in m[0] if c.isalnum())
-    if not 15 <= len(plain) <= 34 or mod97(plain) != 1:
-        return None
-    body = f.signs("iban" + plain[:2], plain[4:], _classes(plain[4:]), back)
-    return _refill(m[0], f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}")
+    groups = m[0].split(" ")
+    for n in range(len(groups), 0, -1):  # what follows the number may look like one more group
+        shape = " ".join(groups[:n])
+        plain = shape.replace(" ", "")
+        if 15 <= len(plain) <= 34 and mod97(plain) == 1:
+            body = f.signs("iban" + plain[:2], plain[4:], _classes(plain[4:]), back)
+            new = f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}"
+            return _refill(shape, new) + m[0][len(shape) :]
+    return None
 
 
 def _ssn(f: Feistel, m: re.Match, back: bool) -> str | None:
@@ -243,7 +247,15 @@ KINDS: list[tuple[str, str, re.Pattern, Callable]] = [
         ),
         _date,
     ),
-    ("card", "0", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])"), _card),
+    (
+        "card",
+        "0",
+        re.compile(
+            r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})"
+            r"(?![\w]|[.-][0-9])"
+        ),
+        _card,
+    ),
     ("ssn", "0", re.compile(r"(?<![\w-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![\w]|-[0-9])"), _ssn),
     (
         "phone",
