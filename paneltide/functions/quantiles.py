@@ -32,7 +32,10 @@ _SHIFT = 800 * RESOLUTION
 
 def order_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
     """Monotone bucket number: b(x) < b(y) implies x < y."""
-    magnitude = F.floor(F.log(F.abs(value)) * resolution) + F.lit(_SHIFT)
+    endless = F.abs(value) == float("inf")
+    magnitude = F.when(endless, F.lit(2 * _SHIFT)).otherwise(
+        F.floor(F.log(F.when(~endless, F.abs(value))) * resolution) + F.lit(_SHIFT)
+    )
     return (
         F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("long")
     )
@@ -115,8 +118,7 @@ def quantiles_of_counts(
 
     def interpolated(p: float) -> Column:
         lo, hi = at(lower(p)), at(upper(p))
-        fraction = F.max(F.lit(float(p)) * last - lower(p))
-        return lo + (hi - lo) * fraction
+        return _between(lo, hi, F.max(F.lit(float(p)) * last - lower(p)))
 
     return ranked.groupBy(*groups).agg(
         F.max("total").alias("total"),
@@ -130,7 +132,12 @@ def _interpolated(ordered: Column, p: float) -> Column:
     spot = F.lit(float(p)) * last
     low = F.floor(spot).cast("int")
     a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, last))
-    return a + (b - a) * (spot - low)
+    return _between(a, b, spot - low)
+
+
+def _between(low: Column, high: Column, fraction: Column) -> Column:
+    """The value a fraction of the way up; equal ends, also infinite ones, are their own middle."""
+    return F.when((low == high) | (fraction == 0), low).otherwise(low + (high - low) * fraction)
 
 
 def _gathered(
@@ -171,8 +178,8 @@ def _by_rank(
     # Read several times below, and only large groups come here.
     counts = materialized(value_counts(df, groups, values))
     wanted = dict(probs) | ({"_med": 0.5} if mad else {})
-    long = quantiles_of_counts(counts, cells, wanted).withColumnRenamed("total", "n")
-    stats = ["n", *probs]
+    long = quantiles_of_counts(counts, cells, wanted).drop("total")
+    stats = list(probs)
     if mad:
         deviations = (
             attach(counts, long.select(*cells, "_med"), cells, spread=["v"], how="inner")
@@ -183,13 +190,17 @@ def _by_rank(
         mads = quantiles_of_counts(deviations, cells, {"mad": 0.5}).drop("total")
         long = long.join(mads, cells)
         stats.append("mad")
-    return long.groupBy(*groups).agg(
+    found = long.groupBy(*groups).agg(
         *[
             F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{c}__{k}")
             for c in values
             for k in stats
         ]
     )
+    # every group, also one whose values are all null
+    known = [F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"{c}__n") for c in values]
+    every = df.groupBy(*groups).agg(*known).join(found, list(groups), "left")
+    return every.select(*groups, *[f"{c}__{k}" for c in values for k in ["n", *stats]])
 
 
 def quantiles(

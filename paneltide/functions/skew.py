@@ -23,7 +23,7 @@ def by_group_size(
     Group sizes are counted first, with map-side combining, over the group
     columns only. The list of large groups cannot be longer than ``rows / limit``,
     so it is safe to broadcast; when it is empty the plan has no second branch.
-    Rows with a null in ``groups`` go with the small groups.
+    A null in ``groups`` is a group value like any other.
     """
     oversized = (
         df.groupBy(*groups)
@@ -33,6 +33,9 @@ def by_group_size(
     )
     if oversized.isEmpty():
         return small(df)
-    listed = F.broadcast(oversized)
-    few = small(df.join(listed, list(groups), "left_anti"))
-    return few.unionByName(large(df.join(listed, list(groups), "left_semi")))
+    listed = F.broadcast(oversized.select(*[F.col(g).alias(f"_large_{g}") for g in groups]))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_large_{g}"))
+    few = small(df.join(listed, same, "left_anti"))
+    return few.unionByName(large(df.join(listed, same, "left_semi")))

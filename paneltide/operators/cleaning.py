@@ -25,24 +25,15 @@ def collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def last_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], tie_break: bool
-) -> DataFrame:
-    """The row of each key that comes last by ``order``, combined on the map side.
+def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that comes last by ``order``, then by its other columns.
 
-    Columns nobody reads later are pruned away, unless ``tie_break`` says that
-    ``order`` alone is not total: then the remaining columns decide as well.
+    One aggregate over whole rows, combined on the map side; the result never depends on
+    the order of files or tasks.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    if tie_break:
-        row = F.max(F.struct(*order, *rest)).alias("_last")
-        chosen = df.groupBy(*keys).agg(row)
-        return chosen.select(*[c if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
-    place = F.struct(*order)
-    chosen = df.groupBy(*keys).agg(
-        F.max(place).alias("_last"), *[F.max_by(c, place).alias(c) for c in rest]
-    )
-    return chosen.select(*[F.col("_last")[c].alias(c) if c in order else c for c in df.columns])
+    chosen = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last"))
+    return chosen.select(*[c if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
 
 
 def dedup(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
@@ -52,7 +43,7 @@ def dedup(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
     result never depends on file or task order. One heavily repeated key stays
     cheap because rows combine before the shuffle.
     """
-    return last_rows(df, spec.grain, spec.order, tie_break=not spec.order)
+    return last_rows(df, spec.grain, spec.order)
 
 
 def gate_bounds(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:

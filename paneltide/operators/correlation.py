@@ -31,7 +31,7 @@ def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
     """``(x, y, n, pearson)`` for every pair, in one pass over the table."""
 
     def cell(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
         spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
         return F.struct(
             F.lit(a).alias("x"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.scalar import hemisphere_zone
-from paneltide.spec import REPRESENTATIVE_NAMES, WEATHER, PanelSpec
+from paneltide.spec import WEATHER, PanelSpec
 
 
 def profile_schema(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -149,8 +149,8 @@ def representative_series(
     df: DataFrame,
     spec: PanelSpec = WEATHER,
     n: int = 6,
-    preferred: Sequence[str] = REPRESENTATIVE_NAMES,
-    name: str = "location_name",
+    preferred: Sequence[str] = (),
+    name: str | None = None,
 ) -> DataFrame:
     """``n`` well covered series from different zones: ``(*keys, n_obs, zone, stage)``.
 
@@ -158,6 +158,7 @@ def representative_series(
     not seen yet, stage 3 fills up by coverage. ``n`` rows at most.
     """
     keys = list(spec.keys)
+    name = name or keys[-1]
     middle = quantiles(df, keys, [spec.latitude], {"mid": 0.5})
     cover = (
         series_coverage(df, spec)

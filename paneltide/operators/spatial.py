@@ -19,7 +19,7 @@ from paneltide.spec import WEATHER, PanelSpec, present
 def latest_snapshot(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
     """The most recent row of each series; combined on the map side, no sort."""
     timed = df.where(F.col(spec.time).isNotNull())
-    return last_rows(timed, spec.keys, [spec.time, *spec.order], tie_break=not spec.order)
+    return last_rows(timed, spec.keys, [spec.time, *spec.order])
 
 
 def valid_geo(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:

@@ -47,22 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
-
-    One small file is one split; a large table has more splits than cores and is
-    returned as it is, so no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole panel as a lazy view."""
     names = ("lineitem", "supplier", "nation", "region")
     text = PANEL_SQL.replace("{hours}", "make_dt_interval(0, l_linenumber)")
     tables = {n: table(spark, sf_dir, n) for n in names}
-    tables["lineitem"] = balanced(tables["lineitem"])
     return spark.sql(text, **tables)
 
 

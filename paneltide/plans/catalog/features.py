@@ -1,8 +1,10 @@
 """Features and region columns."""
 
+from pyspark.sql import functions as F
+
 from paneltide.operators import features as op
 from paneltide.operators import profiling, regions
-from paneltide.plans.bindings import PANEL, country_regions
+from paneltide.plans.bindings import PANEL, country_regions, table
 from paneltide.plans.catalog.base import gated, query, sql
 from paneltide.spec import LAGGED_EXOGENOUS, LAGS, WINDOWS
 
@@ -118,12 +120,31 @@ def region_columns(spark, sf):
     return out.select(*_names(f"{_ID} continent:s climate_zone:s hemisphere:s"))
 
 
-@query("continent_by_name")
+# A dimension of codes, names and continents over the nations.
+_COUNTRIES = """select upper(substr(r_name, 1, 1)) || chr(65 + n_nationkey % 26) as country_code,
+  initcap(n_name) as country_name, r_name as continent from {nation} join {region} on n_regionkey = r_regionkey"""
+
+
+def _countries(spark, sf):
+    return spark.sql(_COUNTRIES, nation=table(spark, sf, "nation"), region=table(spark, sf, "region"))
+
+
+@query(
+    "continent_by_name",
+    sql(
+        """r as (select p.country, min(upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2))) as country_name,
+  min(r_name) as continent, count(*) as n
+  from gated p join nation on p.country = n_name join region on n_regionkey = r_regionkey group by p.country)""",
+        "country:s country_name:s continent:s n:i",
+        "r",
+    ),
+)
 def continent_by_name(spark, sf):
-    """The built-in country dimension; its tables live outside the database."""
-    named = regions.add_continent(gated(spark, sf), "country")
-    named = regions.canonical_country(named)
-    return named.groupBy("country", "country_name", "continent").count()
+    """Names resolved through a dimension of codes, names and continents."""
+    dimension = _countries(spark, sf)
+    named = regions.add_continent(gated(spark, sf), "country", dimension)
+    named = regions.canonical_country(named, dimension)
+    return named.groupBy("country", "country_name", "continent").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

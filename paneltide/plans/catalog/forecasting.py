@@ -114,7 +114,7 @@ def backtest_fitted(spark, sf):
 
 @query("smoothing_forecasts")
 def smoothing_forecasts(spark, sf):
-    models = {"ets": op.fitted(ETS), "sarimax": op.fitted(SARIMA), "prophet": op.fitted(TREND_WEEK)}
+    models = {"damped_smoothing": op.fitted(ETS), "seasonal_arma": op.fitted(SARIMA), "trend_week": op.fitted(TREND_WEEK)}
     return op.forecasts(op.last_training_sets(daily(spark, sf), SERIES), models, SERIES)
 
 

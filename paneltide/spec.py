@@ -62,16 +62,6 @@ BOUNDS = {
     "uv_index": (0.0, 20.0),
     "visibility_km": (0.0, 100.0),
 }
-REPRESENTATIVE_NAMES = (
-    "London",
-    "Moscow",
-    "Cairo",
-    "New Delhi",
-    "Nairobi",
-    "Tokyo",
-    "Canberra",
-    "Brasilia",
-)
 
 # Modelling defaults.
 LAGS = (1, 2, 3, 7, 14)

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paneltide.functions.skew import by_group_size
 from paneltide.functions.joins import attach
 from paneltide.functions.positions import with_positions
 from paneltide.functions.quantiles import order_bucket, quantiles, ranks_of_counts, value_counts
@@ -94,3 +95,31 @@ def test_labels(spark):
         air_quality_label(F.lit(3)), air_quality_label(F.lit(7)), band(F.lit(5.0), ((5.0, "low"),))
     )
     assert tuple(one.first()) == ("Unhealthy (Sensitive)", None, "low")
+
+
+def test_quantiles_agree_on_both_ways_for_odd_groups(spark):
+    inf = float("inf")
+    rows = [("a", float(i % 7)) for i in range(40)] + [("nulls", None)] * 3 + [("b", inf), ("b", 1.0), ("b", -inf)]
+    rows += [("c", inf), ("c", inf), ("n", float("nan")), ("n", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.25, "mid": 0.5}
+    one, other = (
+        sorted(map(tuple, quantiles(df, ["k"], ["v"], probs, limit=limit).collect())) for limit in (10**6, 0)
+    )
+    assert one == other
+    assert [r[:2] for r in one] == [("a", 40), ("b", 3), ("c", 2), ("n", 1), ("nulls", 0)]
+
+
+def test_null_keys_count_by_their_number(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [("x", i) for i in range(5)], "k string, i int")
+    seen = {}
+
+    def noted(name):
+        def apply(rows):
+            seen[name] = rows.count()
+            return rows
+
+        return apply
+
+    assert by_group_size(df, ["k"], noted("small"), noted("large"), limit=10).count() == 55
+    assert seen == {"small": 5, "large": 50}

@@ -7,8 +7,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_whole_run_writes_every_result(spark, tmp_path):
     factories = {
-        "xgb_global": boosted_trees(rounds=2, step=0.3, depth=3),
-        "lgbm_global": random_forest(trees=3, depth=4),
+        "boosted_trees": boosted_trees(rounds=2, step=0.3, depth=3),
+        "random_forest": random_forest(trees=3, depth=4),
     }
     spec = PANEL.but(
         metrics=("temperature_celsius", "humidity", "precip_mm", "wind_kph"),
@@ -30,6 +30,6 @@ def test_whole_run_writes_every_result(spark, tmp_path):
     predictions = spark.read.parquet(paths["predictions"])
     assert predictions.groupBy("country", "location_name").count().where("count != 7").isEmpty()
     models = {r["model"] for r in spark.read.parquet(paths["model_comparison"]).collect()}
-    assert {"naive", "ets", "sarimax"} <= models
+    assert {"naive", "damped_smoothing", "seasonal_arma"} <= models
     header = spark.read.option("header", True).csv(paths["series_coverage"]).columns
     assert header[:3] == ["country", "location_name", "n_obs"]
