@@ -106,7 +106,7 @@ def test_quantiles_agree_on_both_ways_for_odd_groups(spark):
     one, other = (
         sorted(map(tuple, quantiles(df, ["k"], ["v"], probs, limit=limit).collect())) for limit in (10**6, 0)
     )
-    assert one == other
+    assert repr(one) == repr(other)  # half way from minus infinity is not a number on both ways
     assert [r[:2] for r in one] == [("a", 40), ("b", 3), ("c", 2), ("n", 1), ("nulls", 0)]
 
 
