@@ -45,6 +45,7 @@ def length_table(counts: DataFrame) -> DataFrame:
     more; tokens_truncated, the total when every text is cut at L; tokens_lost by that;
     share_upto, the quantile that L is.
     """
+    counts = materialized(counts)  # read twice; a row per distinct length
     ranged = counts.withColumn("_range", F.floor(F.col("length") / RANGE))
     sums = ranged.groupBy("_range").agg(
         F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("_tokens")
