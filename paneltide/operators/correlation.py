@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
-from paneltide.functions.quantiles import ranks_of_counts
+from paneltide.functions.quantiles import order_bucket
 from paneltide.session import materialized
 
 # Weather columns set against pollutants, and the fewest rows a cell needs.
@@ -31,7 +31,7 @@ def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
     """``(x, y, n, pearson)`` for every pair, in one pass over the table."""
 
     def cell(a: str, b: str) -> Column:
-        x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
+        x, y = _number(a), _number(b)
         spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
         return F.struct(
             F.lit(a).alias("x"),
@@ -48,46 +48,105 @@ def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
 def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
     """``(x, y, n, spearman)``: correlation of average ranks over each pair's complete rows.
 
-    Rows collapse to counts of equal value pairs, so ranks are computed on
-    distinct values and no column has to be gathered or fully sorted in one task.
+    Each column has one histogram: per distinct value, how many of its rows have each
+    other column too. Cumulated, it gives a value's rank against every partner at once,
+    so what is shuffled grows with rows x columns, never with rows x pairs.
     """
-    pair = ["x", "y"]
-    cells = F.array(
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(names)}
+    if not names:
+        return df.sparkSession.createDataFrame([], "x string, y string, n bigint, spearman double")
+    # A written row number stays the same when a task runs again.
+    wide = materialized(
+        df.select(
+            F.monotonically_increasing_id().alias("_row"),
+            F.array(*[_number(c) for c in names]).alias("_v"),
+        )
+    )
+    cells = wide.select("_row", "_v", F.posexplode("_v").alias("c", "v")).where(F.col("v").isNotNull())
+    ranks = materialized(_partner_ranks(cells, len(names)))
+    own = ranks.groupBy("c").agg(
+        *[F.sum(F.get("n", F.lit(j))).alias(f"n{j}") for j in range(len(names))],
         *[
-            F.struct(
-                F.lit(a).alias("x"),
-                F.lit(b).alias("y"),
-                F.col(a).cast("double").alias("a"),
-                F.col(b).cast("double").alias("b"),
-            )
-            for a, b in pairs
-        ]
+            F.sum(F.get("n", F.lit(j)) * F.get("r", F.lit(j)) * F.get("r", F.lit(j))).alias(f"s{j}")
+            for j in range(len(names))
+        ],
     )
-    joint = materialized(
-        df.select(F.inline(cells))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
-        .groupBy(*pair, "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
+    spread = own.select(
+        "c",
+        F.posexplode(
+            F.array(*[F.struct(F.col(f"n{j}").alias("n"), F.col(f"s{j}").alias("s")) for j in range(len(names))])
+        ).alias("other", "_cell"),
+    ).select("c", "other", "_cell.*")
+    slim = cells.select("_row", "c", "v")
+    placed = attach(slim, ranks.select("c", "v", "r"), ["c", "v"], spread=["_row"], how="inner")
+    rows = placed.groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("_r")
+    )
+    sums = rows.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(x).alias("x"),
+                    F.lit(y).alias("y"),
+                    F.lit(at[x]).alias("c"),
+                    F.lit(at[y]).alias("other"),
+                    F.sum(_rank(at[x], at[y]) * _rank(at[y], at[x])).alias("_ab"),
+                )
+                for x, y in pairs
+            ]
+        ).alias("_cells")
+    ).select(F.inline("_cells"))
+    there = spread.withColumnRenamed("s", "_aa")
+    back = spread.select(F.col("other").alias("c"), F.col("c").alias("other"), F.col("s").alias("_bb"))
+    both = sums.join(there, ["c", "other"]).join(back, ["c", "other"])
+    scale = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
+    return both.where(F.col("n") > 0).select(
+        "x", "y", "n", F.when(scale > 0, F.col("_ab") / scale).alias("spearman")
     )
 
-    def ranks(side: str) -> DataFrame:
-        counts = joint.groupBy(*pair, F.col(side).alias("v")).agg(F.sum("n").alias("n"))
-        centered = F.col("rank") - (F.col("total") + 1) / 2
-        return ranks_of_counts(counts, pair).select(
-            *pair, F.col("v").alias(side), centered.alias(f"r{side}")
+
+def _number(column: str) -> Column:
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
+def _rank(column: int, partner: int) -> Column:
+    """A row's centred rank in ``column`` among the rows that have ``partner`` too."""
+    return F.get(F.try_element_at("_r", F.lit(column)), F.lit(partner))
+
+
+def _partner_ranks(cells: DataFrame, width: int) -> DataFrame:
+    """``(c, v, n, r)``: per distinct value, its rows with each partner and its centred average ranks."""
+    partners = range(width)
+    counts = (
+        cells.groupBy("c", "v")
+        .agg(*[F.count(F.get("_v", F.lit(j))).alias(f"n{j}") for j in partners])
+        .withColumn("_b", order_bucket(F.col("v")))
+    )
+    before = Window.partitionBy("c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("c")
+    starts = (
+        counts.groupBy("c", "_b")
+        .agg(*[F.sum(f"n{j}").alias(f"b{j}") for j in partners])
+        .select(
+            "c",
+            "_b",
+            *[F.coalesce(F.sum(f"b{j}").over(before), F.lit(0)).alias(f"start{j}") for j in partners],
+            *[F.sum(f"b{j}").over(whole).alias(f"total{j}") for j in partners],
         )
+    )
+    upto = Window.partitionBy("c", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+
+    def centred(j: int) -> Column:
+        last = F.col(f"start{j}") + F.sum(f"n{j}").over(upto)
+        return last - (F.col(f"n{j}") - 1) / 2 - (F.col(f"total{j}") + 1) / 2
 
-    both = attach(joint, ranks("a"), [*pair, "a"], spread=["b"], how="inner")
-    both = attach(both, ranks("b"), [*pair, "b"], spread=["a"], how="inner")
-    n = F.col("n")
-    sums = both.groupBy(*pair).agg(
-        F.sum("n").alias("n"),
-        F.sum(n * F.col("ra") * F.col("rb")).alias("_ab"),
-        F.sum(n * F.col("ra") * F.col("ra")).alias("_aa"),
-        F.sum(n * F.col("rb") * F.col("rb")).alias("_bb"),
+    return counts.join(starts, ["c", "_b"]).select(
+        "c",
+        "v",
+        F.array(*[F.col(f"n{j}") for j in partners]).alias("n"),
+        F.array(*[centred(j) for j in partners]).alias("r"),
     )
-    scale = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
-    return sums.select(*pair, "n", F.when(scale > 0, F.col("_ab") / scale).alias("spearman"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

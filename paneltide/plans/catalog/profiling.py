@@ -5,6 +5,7 @@ from paneltide.functions.quantiles import ranks_of_counts, value_counts
 from paneltide.operators import correlation, profiling
 from paneltide.plans.bindings import PANEL, panel
 from paneltide.plans.catalog.base import gated, query, sql
+from paneltide.spec import CONCENTRATIONS, INDICES, METRICS
 
 _PROFILED = ["country", "location_name", "temperature_celsius", "humidity", "condition_text"]
 
@@ -131,14 +132,7 @@ def average_ranks(spark, sf):
     return ranked.select("country", "v", ranked["rank"].alias("avg_rank"))
 
 
-_COLUMNS = [
-    "temperature_celsius",
-    "humidity",
-    "pressure_mb",
-    "precip_mm",
-    "air_quality_pm2_5",
-    "air_quality_us_epa_index",
-]
+_COLUMNS = [*METRICS, *CONCENTRATIONS, *INDICES]
 _PAIRS = [(a, b) for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]]
 
 
@@ -182,8 +176,8 @@ def correlation_matrix(spark, sf):
     return correlation.square(correlation.pearson(gated(spark, sf), _PAIRS), "pearson", _COLUMNS)
 
 
-_WEATHER = ["wind_kph", "precip_mm", "humidity", "pressure_mb"]
-_POLLUTANTS = ["air_quality_pm2_5", "air_quality_ozone", "air_quality_gb_defra_index"]
+_WEATHER = list(correlation.WEATHER_DRIVERS)
+_POLLUTANTS = [*CONCENTRATIONS, *INDICES]
 _CROSS = [(w, p) for w in _WEATHER for p in _POLLUTANTS]
 
 
