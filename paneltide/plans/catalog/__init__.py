@@ -9,6 +9,7 @@ from paneltide.plans.catalog import (
     learning,
     profiling,
     regional,
+    storage,
 )
 from paneltide.plans.catalog.base import ORACLES, QUERIES
 
@@ -23,4 +24,5 @@ __all__ = [
     "learning",
     "profiling",
     "regional",
+    "storage",
 ]

@@ -170,6 +170,49 @@ def weighted_blend(spark, sf):
     return ensemble.blend(made, weights, [*SERIES.keys, "fold", "h"])
 
 
+def ungated(alpha):
+    return f"""{SCORED}, k as (select model, (1 / mae) ** {alpha} as w from summary where mae > 0),
+weights as (select model, w / sum(w) over () as weight from k)"""
+
+
+@query("inverse_error_weights_all", sql(ungated(1), "model:s weight:f", "weights"))
+def inverse_error_weights_all(spark, sf):
+    return ensemble.inverse_error_weights(model_summary(spark, sf))
+
+
+@query("inverse_error_weights_squared", sql(ungated(2), "model:s weight:f", "weights"))
+def inverse_error_weights_squared(spark, sf):
+    return ensemble.inverse_error_weights(model_summary(spark, sf), alpha=2.0)
+
+
+_LOOSE = 1.25
+
+
+@query(
+    "inverse_error_weights_loose",
+    sql(WEIGHTS.replace("mase <= 1,", f"mase <= {_LOOSE},"), "model:s weight:f", "weights"),
+)
+def inverse_error_weights_loose(spark, sf):
+    return ensemble.inverse_error_weights(model_summary(spark, sf), drop_above=_LOOSE)
+
+
+@query(
+    "weighted_blend_all",
+    sql(
+        ungated(2) + f""", r as (select {_K}, fold, h, sum(weight * yhat) / sum(weight) as yhat
+  from paths join weights using (model) where yhat is not null group by all)""",
+        f"{_KO} fold:i h:i yhat:f",
+        "r",
+    ),
+)
+def weighted_blend_all(spark, sf):
+    """A blend in which every baseline has a share."""
+    made = op.forecasts(
+        op.training_sets(daily(spark, sf), folds(spark, sf), SERIES), op.BASELINES, SERIES
+    )
+    return ensemble.blend(made, inverse_error_weights_squared(spark, sf), [*SERIES.keys, "fold", "h"])
+
+
 _FINAL = (
     WEIGHTS
     + f""", ft as (select {_K}, day, y, row_number() over (partition by {_K} order by day) as i,
@@ -251,3 +294,33 @@ def stacked_forecast(spark, sf):
     matrix = oof_matrix(spark, sf)
     weights = ensemble.fit_stacker(matrix, _MODELS)
     return matrix.withColumn("stacked", ensemble.predict_stacker(weights))
+
+
+_PAIR = ["naive", "climatology"]
+# With two models the non-negative fit is the plain one, or else the better single model with a positive slope.
+_STACKED = f"""{MATRIX}, m as (select count(*) as n, avg(naive) as ma, avg(climatology) as mb, avg(y) as my,
+  sum(naive * naive) - count(*) * avg(naive) * avg(naive) as aa,
+  sum(climatology * climatology) - count(*) * avg(climatology) * avg(climatology) as bb,
+  sum(naive * climatology) - count(*) * avg(naive) * avg(climatology) as ab,
+  sum(naive * y) - count(*) * avg(naive) * avg(y) as ay,
+  sum(climatology * y) - count(*) * avg(climatology) * avg(y) as b_y
+  from wide where y is not null and naive is not null and climatology is not null),
+u as (select *, (bb * ay - ab * b_y) / (aa * bb - ab * ab) as ua, (aa * b_y - ab * ay) / (aa * bb - ab * ab) as ub,
+  case when ay > 0 then ay * ay / aa else 0 end as ga, case when b_y > 0 then b_y * b_y / bb else 0 end as gb from m),
+w as (select ma, mb, my,
+  case when ua >= 0 and ub >= 0 then ua when ga > 0 and ga >= gb then ay / aa else 0 end as wa,
+  case when ua >= 0 and ub >= 0 then ub when gb > 0 and gb > ga then b_y / bb else 0 end as wb from u),
+r as (select wide.*, wa * naive + wb * climatology + (my - wa * ma - wb * mb) as stacked from wide, w)"""
+
+
+@query(
+    "stacked_pair",
+    sql(_STACKED, f"{_KO} date:d y:f naive:f climatology:f stacked:f", "r"),
+)
+def stacked_pair(spark, sf):
+    """The non-negative stack of two baselines over their out-of-fold forecasts."""
+    matrix = ensemble.oof_matrix(
+        oof(spark, sf).where(F.col("model").isin(_PAIR)), _PAIR, [*SERIES.keys, "date"]
+    )
+    weights = ensemble.fit_stacker(matrix, _PAIR)
+    return matrix.withColumn("stacked", ensemble.predict_stacker(weights))
