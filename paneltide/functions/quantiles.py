@@ -6,10 +6,11 @@ here come from ranks instead (groups counted to be small are simply sorted):
 
 1. ``value_counts`` collapses rows to (group, value, count) with map-side
    combining, which also absorbs values that repeat a lot;
-2. ``order_bucket`` cuts the value axis into fixed, order-preserving buckets, so
-   (group, bucket) is a unit of work even when the group is huge;
-3. bucket totals give each bucket's first rank, and only the buckets a wanted
-   rank falls in are sorted.
+2. ``order_bucket`` cuts the value axis into fixed, order-preserving buckets and each
+   of those into finer ones, so (group, bucket, part) is a unit of work even when the
+   group is huge and its values lie close together;
+3. totals give each bucket's first rank and then each part's, and only the parts a
+   wanted rank falls in are sorted.
 
 The bucket of a value depends on the value alone, so recomputed tasks agree.
 """
@@ -25,16 +26,17 @@ from paneltide.functions.joins import attach
 from paneltide.functions.skew import GROUP_LIMIT, by_group_size
 from paneltide.session import materialized
 
-# Buckets per factor of e in magnitude: values within 0.1 % share a bucket.
+# Buckets per factor of e in magnitude: values within 0.1 % share a bucket, within one in a million a part of it.
 RESOLUTION = 1024
-_SHIFT = 800 * RESOLUTION
+FINE = RESOLUTION * 1024
 
 
 def order_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
     """Monotone bucket number: b(x) < b(y) implies x < y."""
+    shift = 800 * resolution
     endless = F.abs(value) == float("inf")
-    magnitude = F.when(endless, F.lit(2 * _SHIFT)).otherwise(
-        F.floor(F.log(F.when(~endless, F.abs(value))) * resolution) + F.lit(_SHIFT)
+    magnitude = F.when(endless, F.lit(2 * shift)).otherwise(
+        F.floor(F.log(F.when(~endless, F.abs(value))) * resolution) + F.lit(shift)
     )
     return (
         F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("long")
@@ -55,9 +57,12 @@ def value_counts(df: DataFrame, groups: Sequence[str], values: Sequence[str]) ->
     return long.groupBy(*groups, "column", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucketed(counts: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Counts with a bucket column, and per bucket its first rank and the group total."""
-    bucketed = counts.withColumn("_b", order_bucket(F.col("v")))
+def _bucketed(counts: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts with bucket and part, the totals of the parts, and per bucket its first rank and the group total."""
+    bucketed = counts.withColumns(
+        {"_b": order_bucket(F.col("v")), "_f": order_bucket(F.col("v"), FINE)}
+    )
+    parts = bucketed.groupBy(*groups, "_b", "_f").agg(F.sum("n").alias("_fn"))
     by_group = Window.partitionBy(*groups)
     starts = (
         bucketed.groupBy(*groups, "_b")
@@ -65,24 +70,34 @@ def _bucketed(counts: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, Data
         .withColumn("_start", F.sum("_bn").over(by_group.orderBy("_b")) - F.col("_bn"))
         .withColumn("total", F.sum("_bn").over(by_group))
     )
-    return bucketed, starts
+    return bucketed, parts, starts
+
+
+def _placed(parts: DataFrame, starts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The parts of the buckets in ``starts`` with their own first rank."""
+    within = Window.partitionBy(*groups, "_b").orderBy("_f")
+    return (
+        parts.join(starts, [*groups, "_b"])
+        .withColumn("_start", F.col("_start") + F.sum("_fn").over(within) - F.col("_fn"))
+        .drop("_bn")
+    )
 
 
-def _ranked(bucketed: DataFrame, starts: DataFrame, groups: Sequence[str]) -> DataFrame:
-    within = Window.partitionBy(*groups, "_b").orderBy("v").rowsBetween(
+def _ranked(bucketed: DataFrame, placed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    within = Window.partitionBy(*groups, "_b", "_f").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        bucketed.join(starts, [*groups, "_b"])
+        bucketed.join(placed, [*groups, "_b", "_f"])
         .withColumn("before", F.col("_start") + F.sum("n").over(within) - F.col("n"))
-        .drop("_b", "_bn", "_start")
+        .drop("_b", "_f", "_fn", "_start")
     )
 
 
 def ranks_of_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Add ``before`` (rows with a smaller value), ``total`` and the average ``rank``."""
-    bucketed, starts = _bucketed(counts, groups)
-    ranked = _ranked(bucketed, starts, groups)
+    bucketed, parts, starts = _bucketed(counts, groups)
+    ranked = _ranked(bucketed, _placed(parts, starts, groups), groups)
     return ranked.withColumn("rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0))
 
 
@@ -90,7 +105,7 @@ def quantiles_of_counts(
     counts: DataFrame, groups: Sequence[str], probs: Mapping[str, float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``(*groups, total, *probs)``."""
-    bucketed, starts = _bucketed(counts, groups)
+    bucketed, parts, starts = _bucketed(counts, groups)
     last = F.col("total") - 1
 
     def lower(p: float) -> Column:
@@ -111,7 +126,8 @@ def quantiles_of_counts(
         return hit
 
     needed = starts.where(any_of(F.col("_start"), F.col("_bn")))
-    ranked = _ranked(bucketed, needed, groups).where(any_of(F.col("before"), F.col("n")))
+    fine = _placed(parts, needed, groups).where(any_of(F.col("_start"), F.col("_fn")))
+    ranked = _ranked(bucketed, fine, groups).where(any_of(F.col("before"), F.col("n")))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(F.col("before"), F.col("n"), rank), F.col("v")))

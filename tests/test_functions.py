@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paneltide.functions.skew import by_group_size
 from paneltide.functions.joins import attach
 from paneltide.functions.positions import with_positions
-from paneltide.functions.quantiles import order_bucket, quantiles, ranks_of_counts, value_counts
+from paneltide.functions.quantiles import FINE, order_bucket, quantiles, ranks_of_counts, value_counts
 from paneltide.functions.scalar import air_quality_label, band, climate_zone, hemisphere_zone, season
 from paneltide.spec import PanelSpec
 
@@ -51,6 +51,25 @@ def test_ranks_are_average_ranks(spark, numbers):
         assert got[(g, v)] == r
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_quantiles_of_values_that_share_a_bucket(spark, limit):
+    v = 1000 + np.random.default_rng(3).permutation(4000) * 1e-6
+    df = spark.createDataFrame(pd.DataFrame({"v": np.r_[v, np.inf, -np.inf, -v]}))
+    got = quantiles(df, [], ["v"], {"a": 0.1, "b": 0.5, "c": 0.73, "d": 1.0}, limit=limit).first()
+    every = np.sort(np.r_[v, np.inf, -np.inf, -v])
+    for name, p in {"a": 0.1, "b": 0.5, "c": 0.73}.items():
+        assert got[f"v__{name}"] == pytest.approx(np.quantile(every, p), abs=1e-9)
+    assert got["v__d"] == np.inf
+
+
+def test_fine_buckets_lie_inside_coarse_ones(spark):
+    v = np.r_[np.random.default_rng(4).lognormal(0, 20, 3000), 0.0, 1.0, np.e]
+    df = spark.createDataFrame(pd.DataFrame({"v": np.r_[v, -v]}))
+    both = df.select("v", order_bucket(F.col("v")).alias("b"), order_bucket(F.col("v"), FINE).alias("f")).orderBy("v").toPandas()
+    assert both["b"].is_monotonic_increasing and both["f"].is_monotonic_increasing
+    assert both.groupby("f")["b"].nunique().max() == 1
+
+
 def test_order_bucket_is_monotone(spark):
     values = sorted([-1e9, -3.2, -3.1999, -1e-12, 0.0, 1e-300, 1e-12, 0.5, 0.50001, 7.0, 1e12])
     df = spark.createDataFrame([(v,) for v in values], "v double")
