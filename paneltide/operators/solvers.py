@@ -83,22 +83,6 @@ def seasonal_arma(y: np.ndarray, horizon: int, season: int = SEASON) -> np.ndarr
     return path
 
 
-def trend_and_week(y: np.ndarray, horizon: int, season: int = SEASON) -> np.ndarray:
-    """Straight line plus weekly Fourier terms, by least squares."""
-    if len(y) < 2 * season + 2:
-        return seasonal_repeat(y, horizon, season)
-
-    def design(t: np.ndarray) -> np.ndarray:
-        turns = [2 * np.pi * k * t / season for k in range(1, season // 2 + 1)]
-        return np.column_stack(
-            [np.ones_like(t), t / len(y), *[f(x) for x in turns for f in (np.sin, np.cos)]]
-        )
-
-    t = np.arange(len(y) + horizon, dtype=float)
-    weights = np.linalg.lstsq(design(t[: len(y)]), y, rcond=None)[0]
-    return design(t[len(y) :]) @ weights
-
-
 Forecaster = Callable[[np.ndarray, int], np.ndarray]
 
 
@@ -122,4 +106,3 @@ def as_column(forecaster: Forecaster, horizon: int = HORIZON) -> Callable[[Colum
 
 ETS: Forecaster = smooth_and_extend
 SARIMA: Forecaster = seasonal_arma
-TREND_WEEK: Forecaster = trend_and_week

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import charts, ensemble
 from paneltide.operators import forecast as op
-from paneltide.operators.solvers import ETS, SARIMA, TREND_WEEK
+from paneltide.operators.solvers import ETS, SARIMA
 from paneltide.plans.bindings import PANEL
 from paneltide.plans.catalog.base import gated, query, sql
 
@@ -87,6 +87,23 @@ def baseline_forecasts(spark, sf):
     return op.forecasts(sets, op.BASELINES, SERIES).drop("date")
 
 
+TREND = f"""{SETS}, centre as (select {_K}, fold, (i - 1) % 7 as p, avg(i - 1) as t, avg(y) as my from train group by all),
+line as (select t.region_name, t.condition_text, t.fold, sum((t.i - 1 - c.t) * (t.y - c.my)) / sum((t.i - 1 - c.t) ** 2) as slope
+  from train t join centre c on t.region_name = c.region_name and t.condition_text = c.condition_text
+    and t.fold = c.fold and (t.i - 1) % 7 = c.p group by all),
+trended as (select s.region_name, s.condition_text, s.fold, s.cutoff, s.h,
+    case when s.n >= 16 then c.my + slope * (s.n + s.h - 1 - c.t) else b.y end as yhat
+  from steps s join line using ({_K}, fold)
+  join centre c on s.region_name = c.region_name and s.condition_text = c.condition_text and s.fold = c.fold and c.p = (s.n + s.h - 1) % 7
+  join train b on s.region_name = b.region_name and s.condition_text = b.condition_text and s.fold = b.fold and b.i = s.n - 7 + 1 + (s.h - 1) % 7)"""
+
+
+@query("trend_week_forecasts", sql(TREND, f"{_KO} fold:i cutoff:d h:i yhat:f", "trended"))
+def trend_week_forecasts(spark, sf):
+    sets = op.training_sets(daily(spark, sf), folds(spark, sf), SERIES)
+    return op.forecasts(sets, {"trend_week": op.trend_week}, SERIES).drop("date", "model")
+
+
 _METRICS = "mae:f rmse:f smape:f mape:f mape_unreliable:b n:i mase:f"
 
 
@@ -114,7 +131,7 @@ def backtest_fitted(spark, sf):
 
 @query("smoothing_forecasts")
 def smoothing_forecasts(spark, sf):
-    models = {"damped_smoothing": op.fitted(ETS), "seasonal_arma": op.fitted(SARIMA), "trend_week": op.fitted(TREND_WEEK)}
+    models = {"damped_smoothing": op.fitted(ETS), "seasonal_arma": op.fitted(SARIMA), "trend_week": op.trend_week}
     return op.forecasts(op.last_training_sets(daily(spark, sf), SERIES), models, SERIES)
 
 
