@@ -30,6 +30,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(lengths)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores in front if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append_columns(
     df: DataFrame,
     text: str,

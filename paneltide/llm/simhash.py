@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.llm.batches import append_columns
+from paneltide.llm.batches import append_columns, free_name
 from paneltide.llm.components import components
 from paneltide.session import materialized
 
@@ -164,13 +164,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     its columns stays.
     """
     _, classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    named = with_fingerprints(docs, text, "_fp").withColumn("_id", F.col(f"`{doc_id}`"))
-    classes = classes.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low"))
-    first = materialized(named.join(classes, "_fp").where(F.col("_id").eqNullSafe(F.col("_low"))))
-    repeated = materialized(first.groupBy("_root").agg(F.count("*").alias("_n")).where("_n > 1").select("_root"))
+    fp, root, low = (free_name(docs, n) for n in ("_fp", "_root", "_low"))
+    named = with_fingerprints(docs, text, fp, options.get("shingle", SHINGLE))
+    classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
+    first = materialized(named.join(classes, fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(low))))
+    repeated = materialized(first.groupBy(root).agg(F.count("*").alias("_rows")).where("_rows > 1").select(root))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if repeated.isEmpty():
         return first.select(*columns)
-    alone = first.join(repeated, "_root", "left_anti").select(*columns)
-    chosen = first.join(repeated, "_root", "left_semi").groupBy("_root").agg(F.min(F.struct(*columns)).alias("_row"))
+    alone = first.join(repeated, root, "left_anti").select(*columns)
+    chosen = first.join(repeated, root, "left_semi").groupBy(root).agg(F.min(F.struct(*columns)).alias("_row"))
     return alone.union(chosen.select("_row.*"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.llm.batches import slices
+from paneltide.llm.batches import free_name, slices
 from paneltide.session import materialized
 
 WINDOW = 10
@@ -322,11 +322,11 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
     yield block
 
 
-def _pass(docs: DataFrame, text: str, block: TestBlock, shard_bytes: int) -> DataFrame:
+def _pass(docs: DataFrame, text: str, block: TestBlock, shard_bytes: int, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_BYTES of text
-    earlier = _MATCH in docs.columns
-    schema = T.StructType([f for f in docs.schema.fields if f.name != _MATCH] + [T.StructField(_MATCH, MATCHES)])
-    names = [f.name for f in schema.fields if f.name != _MATCH]
+    earlier = name in docs.columns
+    schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, MATCHES)])
+    names = [f.name for f in schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = shared.value
@@ -338,7 +338,7 @@ def _pass(docs: DataFrame, text: str, block: TestBlock, shard_bytes: int) -> Dat
                 offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
                 data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
                 counts, found = shard_matches(test, data, offsets - offsets[0])
-                old = part.column(part.schema.get_field_index(_MATCH)).to_pylist() if earlier else [None] * len(raw)
+                old = part.column(part.schema.get_field_index(name)).to_pylist() if earlier else [None] * len(raw)
                 out = []
                 for k in range(len(raw)):
                     new = found.get(k, {"spans": [], "items": set(), "longest": (0, None, None, None)})
@@ -352,7 +352,7 @@ def _pass(docs: DataFrame, text: str, block: TestBlock, shard_bytes: int) -> Dat
                 kinds = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 fields = [pa.array([r[i] for r in out], type=kinds[i]) for i in range(len(kinds))]
                 columns.append(pa.StructArray.from_arrays(fields, MATCHES.names))
-                yield pa.RecordBatch.from_arrays(columns, names + [_MATCH])
+                yield pa.RecordBatch.from_arrays(columns, names + [name])
 
     return docs.mapInArrow(run, schema)
 
@@ -367,17 +367,19 @@ def find_matches(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     shard_bytes: int = SHARD_BYTES,
+    name: str = _MATCH,
 ) -> DataFrame:
-    """``docs`` with one more column, ``_test_matches``: word count, hit spans, items, longest match.
+    """``docs`` with one more column, ``name``: word count, hit spans, items, longest match.
 
     One pass over ``docs`` for each block of test text; passes after the first read
-    what the one before wrote, so a task never holds more than one block.
+    what the one before wrote, so a task never holds more than one block. A column of
+    ``docs`` that has the name of the new one is replaced.
     """
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     block = next(blocks)
-    docs = docs.drop(_MATCH)
+    docs = docs.drop(name)
     while True:
-        docs = _pass(docs, text, TestBlock(block, window), shard_bytes)
+        docs = _pass(docs, text, TestBlock(block, window), shard_bytes, name)
         block = next(blocks, None)
         if block is None:
             return docs
@@ -408,8 +410,9 @@ def match_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a window of a test text."""
-    found = find_matches(docs, benchmark, **options)
-    return found.where(F.size(F.col(_MATCH)["spans"]) == 0).drop(_MATCH)
+    name = free_name(docs, _MATCH)
+    found = find_matches(docs, benchmark, name=name, **options)
+    return found.where(F.size(F.col(name)["spans"]) == 0).drop(name)
 
 
 def plain_report(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple:
