@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Rows of a table of statistics that are sent to every task at most.
+FEW = 20_000
 
 
 def attach(
@@ -30,3 +32,18 @@ def attach(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def attach_written(
+    rows: DataFrame,
+    stats: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str],
+    how: str = "left",
+    few: int = FEW,
+) -> DataFrame:
+    """As ``attach``, for ``stats`` that are a written table: counted first, and sent to every task
+    while they have at most ``few`` rows, so that ``rows`` are not shuffled."""
+    if stats.limit(few + 1).count() > few:
+        return attach(rows, stats, on, spread, how)
+    return rows.join(F.broadcast(stats), list(on), how)

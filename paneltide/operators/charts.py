@@ -7,27 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.functions.joins import attach
+from paneltide.functions.joins import attach, attach_written
 from paneltide.functions.quantiles import quantiles, value_counts
 from paneltide.functions.scalar import bucket
+from paneltide.session import materialized
 from paneltide.spec import WEATHER, PanelSpec
 
 
 def histogram(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins between each group's extremes: edges, count and density."""
+    """Equal-width bins between each group's extremes: edges, count and density.
+
+    Groups and values are written once; extremes and bins combine before their shuffles.
+    """
     every = list(groups) or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(0))
-    known = base.select(*every, F.col(value).cast("double").alias("v")).where("v is not null")
-    counted = known.groupBy(*every, "v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counted.groupBy(*every).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
+    known = materialized(base.select(*every, F.col(value).cast("double").alias("v")).where("v is not null"))
+    ends = materialized(
+        known.groupBy(*every).agg(
+            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total")
+        )
     )
     width = (F.col("hi") - F.col("lo")) / bins
     binned = (
-        attach(counted, ends, every, spread=["v"], how="inner")
+        attach_written(known, ends, every, spread=["v"], how="inner")
         .withColumn("bin", bucket(F.col("v"), F.col("lo"), F.col("hi"), bins))
         .groupBy(*every, "bin", "lo", "hi", "total")
-        .agg(F.sum("n").alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
     return binned.select(
         *groups,
@@ -143,17 +148,19 @@ def density_grid(
 def box_stats(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Quartiles and whiskers: the extreme values within 1.5 IQR of the box."""
     groups = list(groups)
-    box = quantiles(df, groups, [value], {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(
-        *groups,
-        F.col(f"{value}__n").alias("n"),
-        *[F.col(f"{value}__{q}").alias(q) for q in ("q1", "median", "q3")],
+    df = materialized(df.select(*groups, value))
+    box = materialized(
+        quantiles(df, groups, [value], {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(
+            *groups,
+            F.col(f"{value}__n").alias("n"),
+            *[F.col(f"{value}__{q}").alias(q) for q in ("q1", "median", "q3")],
+        )
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)
     inside = F.when((v >= F.col("q1") - reach) & (v <= F.col("q3") + reach), v)
-    counted = df.where(v.isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
     ends = (
-        attach(counted, box, groups, spread=[value], how="inner")
+        attach_written(df.where(v.isNotNull()), box, groups, spread=[value], how="inner")
         .groupBy(*groups)
         .agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
     )

@@ -142,3 +142,13 @@ def test_null_keys_count_by_their_number(spark):
 
     assert by_group_size(df, ["k"], noted("small"), noted("large"), limit=10).count() == 55
     assert seen == {"small": 5, "large": 50}
+
+
+def test_written_statistics_attach_alike_on_both_ways(spark):
+    from paneltide.functions.joins import attach_written
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("c", 4.0), (None, 5.0)], "k string, v double")
+    stats = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "k string, s long")
+    for how in ("left", "inner"):
+        sent, salted = (attach_written(rows, stats, ["k"], ["v"], how, few) for few in (10, 2))
+        assert sorted(map(str, sent.collect())) == sorted(map(str, salted.collect()))
