@@ -35,6 +35,11 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_chunks.dedup_chunks(table(spark, sf_dir, "documents"), rule=line_chunks.content_chunks)  # as its SQL states
+    return cut.select("doc_id", "text", "n_chunks_removed", "n_lines_removed")
+
+
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_chunks.dedup_chunks(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "n_chunks_removed", "n_lines_removed")
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_feistel_pseudonyms,
         op2_suffix_array_decontamination,
         op3_line_chunks,
+        op3_repeated_passages,
         op4_covering_simhash,
         op5_tree_scored_text,
         op6_byte_bpe,

@@ -1,26 +1,33 @@
-"""Removal of repeated passages by content-defined chunks of lines.
-
-Each line has a hash; a rolling hash over the hashes of a line and the one before it
-decides whether a chunk ends after the line, so an inserted line moves boundaries only near
-itself. A line of more than ``LONG`` words is a chunk of its own. Chunks of at least two
-lines with words and ``LEAST`` words in all, and the long lines, are candidates: their
-hashes are counted over the whole corpus, and every occurrence but the first, by id and
-place, is removed. Before that, the bytes of all occurrences are compared by grouping them;
-different chunks that share a hash are told apart.
+"""Removal of repeated passages of whole lines.
+
+A line goes if it lies in a run of whole lines of more than ``LONG`` words that also begins at
+an earlier place, by id and line. Such a run is covered by its shortest stretches: from each
+line down to the first line, and from each line up to the last line, at which more than
+``LONG`` words are reached. The words of a stretch are a matter of its lines alone, so the
+earlier place has the same stretches, and nothing depends on what stands around them. The
+hashes of the stretches are counted over the whole corpus, and the lines of every occurrence
+but the first, by id and place, are removed. Before that, the bytes of all occurrences are
+compared by grouping them; different stretches that share a hash are told apart.
+
+The rule ``content_chunks`` is the coarser one that the SQL of ``op3_line_chunks`` states: each
+line has a hash; a rolling hash over the hashes of a line and the one before it decides
+whether a chunk ends after the line, so an inserted line moves boundaries only near itself. A
+line of more than ``LONG`` words is a chunk of its own. Chunks of at least two lines with words
+and ``LEAST`` words in all, and the long lines, are counted.
 
 Counting moves only hashes. The texts are shuffled once, to meet the list of their repeated
-chunks; of the chunk bytes only those of repeated hashes move, and equal ones are combined
+stretches; of the bytes only those of repeated hashes move, and equal ones are combined
 before the shuffle.
 
 Defined cases: a null text stays null; rows that share an id and a text are the same
 document and get the same result; a null id comes last in the order of occurrences; a
-document whose chunks are all removed keeps its row with an empty text.
+document whose lines are all removed keeps its row with an empty text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,28 +65,55 @@ def chunks(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def candidates(text: str | None) -> Iterator[tuple[int, bytes]]:
-    """The chunks that count as passages: number and bytes."""
+def content_chunks(text: str) -> list[tuple[int, int]]:
+    """Line ranges of the chunks that count."""
+    return [(a, b) for a, b, words, filled in chunks(text) if words > LONG or filled >= 2 and words >= LEAST]
+
+
+def passages(text: str) -> list[tuple[int, int]]:
+    """Line ranges of the shortest stretches of more than ``LONG`` words, down and up from each line."""
+    sizes = [len(line.split()) for line in text.encode().split(b"\n")]
+    found: set[tuple[int, int]] = set()
+    end = words = 0
+    for start, n in enumerate(sizes):
+        while end < len(sizes) and words <= LONG:
+            words, end = words + sizes[end], end + 1
+        if words <= LONG:
+            break
+        found.add((start, end))
+        words -= n
+    start, words = len(sizes), 0
+    for end in range(len(sizes), 0, -1):
+        while start and words <= LONG:
+            start -= 1
+            words += sizes[start]
+        if words <= LONG:
+            break
+        found.add((start, end))
+        words -= sizes[end - 1]
+    return sorted(found)
+
+
+#: Maps a text to the line ranges that are counted; ranges may overlap.
+Rule = Callable[[str], list[tuple[int, int]]]
+
+
+def candidates(text: str | None, rule: Rule = passages) -> Iterator[tuple[int, bytes]]:
+    """The ranges that are counted: number and bytes."""
     if text is None:
         return
-    lines = None
-    for k, (start, end, words, filled) in enumerate(chunks(text)):
-        if words > LONG or filled >= 2 and words >= LEAST:
-            lines = lines or text.split("\n")
-            yield k, "\n".join(lines[start:end]).encode()
+    lines = text.split("\n")
+    for k, (start, end) in enumerate(rule(text)):
+        yield k, "\n".join(lines[start:end]).encode()
 
 
-def without(text: str | None, numbers: set[int]) -> tuple[str | None, int]:
-    """The text without the numbered chunks, and how many lines went."""
+def without(text: str | None, numbers: set[int], rule: Rule = passages) -> tuple[str | None, int]:
+    """The text without the lines of the numbered ranges, and how many lines went."""
     if not numbers or text is None:
         return text, 0
-    lines, kept, gone = text.split("\n"), [], 0
-    for k, (start, end, _, _) in enumerate(chunks(text)):
-        if k in numbers:
-            gone += end - start
-        else:
-            kept += lines[start:end]
-    return "\n".join(kept), gone
+    ranges = rule(text)
+    gone = {i for k in numbers for i in range(*ranges[k])}
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone), len(gone)
 
 
 def _key(chunk: bytes) -> tuple[int, int]:
@@ -103,10 +137,10 @@ def _listed(docs: DataFrame, schema: T.StructType, rows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with later occurrences of repeated chunks cut out of its text.
+def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = passages) -> DataFrame:
+    """``docs`` with later occurrences of repeated ranges of lines cut out of its text.
 
-    Adds n_chunks_removed and n_lines_removed.
+    Adds n_chunks_removed, the ranges by ``rule`` that are repeats, and n_lines_removed.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(
@@ -120,12 +154,12 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     keys = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
     narrow = whole.select("_id", "_hash", "_text")
     found = materialized(
-        _listed(narrow, T.StructType(place + keys), lambda r: ((r["_id"], r["_hash"], k, *_key(c)) for k, c in candidates(r["_text"])))
+        _listed(narrow, T.StructType(place + keys), lambda r: ((r["_id"], r["_hash"], k, *_key(c)) for k, c in candidates(r["_text"], rule)))
     )
     at = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_no")
     repeated = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     marked = found.join(repeated, ["k1", "k2"])
-    lists = marked.groupBy("_id", "_hash").agg(  # the repeated chunks of one document
+    lists = marked.groupBy("_id", "_hash").agg(  # the repeated ranges of one document
         F.collect_set(F.struct("_no", "k1", "k2", (at == F.col("first")).alias("first"))).alias("_marks")
     )
     lists = lists.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_marks")
@@ -135,7 +169,7 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     # the bytes of all occurrences of a repeated hash, equal ones combined
     def texts(row):
         wanted = {m["_no"]: (m["k1"], m["k2"]) for m in row["_marks"]}
-        return ((row["_id"], row["_hash"], k, *wanted[k], c) for k, c in candidates(row["_text"]) if k in wanted)
+        return ((row["_id"], row["_hash"], k, *wanted[k], c) for k, c in candidates(row["_text"], rule) if k in wanted)
 
     chunk_rows = _listed(
         joined.where("_marks is not null").select("_id", "_hash", "_marks", F.col(f"_row.`{text}`").alias("_text")),
@@ -168,14 +202,14 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         F.transform(F.filter("_marks", lambda m: ~m["first"]), lambda m: m["_no"]), F.array().cast("array<bigint>")
     )
     results = {"n_chunks_removed", "n_lines_removed"}
-    cut = _cut(joined.select("_row", F.col(f"_row.`{text}`").alias("_text"), gone.alias("_gone")))
+    cut = _cut(joined.select("_row", F.col(f"_row.`{text}`").alias("_text"), gone.alias("_gone")), rule)
     kept = [
         F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in results
     ]
     return cut.select(*kept, F.size("_gone").cast("long").alias("n_chunks_removed"), "n_lines_removed")
 
 
-def _cut(joined: DataFrame) -> DataFrame:
+def _cut(joined: DataFrame, rule: Rule) -> DataFrame:
     schema = T.StructType(joined.schema.fields + [T.StructField("_kept", T.StringType()), T.StructField("n_lines_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +217,7 @@ def _cut(joined: DataFrame) -> DataFrame:
             texts = batch.column(1)
             for start, end in slices(texts):
                 part = batch.slice(start, end - start)
-                pairs = [without(t, set(g or ())) for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                pairs = [without(t, set(g or ()), rule) for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())],
                     schema.names,

@@ -70,3 +70,38 @@ def test_repeated_rows_null_ids_and_no_rows(make):
     got = L.dedup_chunks(make([(None, long), (2, long), (2, long), (1, "x\n" + long)])).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "x\n" + long), ("2", ""), ("2", ""), ("None", "")]
     assert L.dedup_chunks(make([])).count() == 0
+
+
+def test_no_shared_run_of_whole_lines_is_left(make):
+    rng = random.Random(21)
+
+    def line(n):
+        return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+    def longest(earlier, lines):
+        """Words of the longest run of whole lines of ``lines`` that stands in one of ``earlier``."""
+        best = 0
+        for other in earlier:
+            for i in range(len(lines)):
+                for j in range(len(other)):
+                    k = words = 0
+                    while i + k < len(lines) and j + k < len(other) and lines[i + k] == other[j + k]:
+                        words, k = words + len(lines[i + k].split()), k + 1
+                    best = max(best, words)
+        return best
+
+    planted, rows, own = [], [], {}
+    for size in (2, 4, 6, 10, 20):
+        for _ in range(4):
+            planted.append([line(rng.randint(51 // size + 1, 60 // size + 8)) for _ in range(size)])
+    for i in range(60):
+        before, after = [line(rng.randint(1, 15)) for _ in range(rng.randint(0, 6))], [line(9) for _ in range(rng.randint(0, 6))]
+        own[i] = before + after
+        rows.append((i, "\n".join(before + planted[i % len(planted)] + after)))
+    rows.append((60, "\n".join([line(3), *rows[0][1].split("\n"), "tail"])))  # a run that takes in its surroundings
+    got = {r.doc_id: r.text.split("\n") for r in L.dedup_chunks(make(rows)).collect()}
+    whole = [t.split("\n") for _, t in rows]
+    assert all(longest(whole[:i], got[i]) <= L.LONG for i in range(len(rows)))
+    for i in range(60):  # the first copy stays, and of later ones what is not repeated
+        assert got[i] == (whole[i] if i < len(planted) else own[i] or [""])
+    assert got[60] == [whole[60][0], "tail"]
