@@ -97,3 +97,25 @@ def test_estimates_follow_the_concentration_steps(spark):
     assert np.allclose([got[f"m{i}"] for i in range(5)], mean)
     assert np.allclose([got[f"l{i}{j}"] for i in range(5) for j in range(i + 1)], [factor[i, j] for i in range(5) for j in range(i + 1)])
     assert determinants[-1] <= determinants[0]
+
+
+def test_each_statistic_can_reject_alone(make):
+    good, _ = texts()
+    rng = random.Random(5)
+    words = good[0].split()
+    while len(words) < 700:
+        words += ["".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randint(1, 9)))]
+    fresh = [" ".join(words[i : i + 2]) for i in range(0, 120, 2)]
+    lines = fresh[:20] + [w for w in words[200:210] for _ in range(5)] + fresh[20:30]  # half of the lines, few of the words
+    phrase = " ".join(words[300:340])
+    odd = {
+        "duplicate lines": "\n".join(lines),
+        "repeated words": "\n".join([" ".join(words[i : i + 17]) for i in range(0, 102, 17)] + [phrase, "x " + phrase]),
+        "long words": "\n".join(" ".join(w + w[:5] for w in words[i : i + 17]) for i in range(0, 204, 17)),
+    }
+    out = {r.doc_id: r for r in O.judged(make(list(enumerate([*good, *odd.values()]))), ("doc_id",)).collect()}
+    assert all(out[i].kept for i in range(len(good)))
+    for k, name in enumerate(odd):
+        r = out[len(good) + k]
+        assert not r.base_failed and not r.kept, (name, r)
+        assert r.distance < 80
