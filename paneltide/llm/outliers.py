@@ -53,7 +53,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     n = F.size("_words")
     out = out.withColumn("n_words", n.cast("long"))
-    # three-word windows as hashes, with their place in the low bits
+    # three-word windows as hashes, with their place in the low bits; their words are compared below
     windows = F.when(
         n >= 3,
         F.transform(
@@ -78,7 +78,31 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumn("_again", repeated)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
-    out = out.withColumn("_places", F.sort_array(F.transform("_again", lambda x: x.bitwiseAND(mask))))
+
+    def window(packed: Column) -> Column:
+        place = packed.bitwiseAND(mask).cast("int")
+        return F.struct(*[F.get("_words", place + k).alias(f"w{k}") for k in range(3)], place.alias("p"))
+
+    def equal(a: Column, b: Column) -> Column:
+        return (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"])
+
+    # bits that agree only point to equal windows: where words behind them differ, sort those windows by their words
+    def differs(x: Column, i: Column) -> Column:
+        former = F.get("_again", F.greatest(i - 1, F.lit(0)))
+        return (i > 0) & same(x, former) & ~equal(window(x), window(former))
+
+    mixed = F.size(F.filter("_again", differs)) > 0
+    out = out.withColumn("_exact", F.when(mixed, F.sort_array(F.transform("_again", window))))
+    end = F.size("_exact") - 1
+    true = F.filter(
+        "_exact",
+        lambda x, i: equal(x, F.get("_exact", F.greatest(i - 1, F.lit(0)))) & (i > 0)
+        | equal(x, F.get("_exact", F.least(i + 1, end))) & (i < end),
+    )
+    places = F.when(F.col("_exact").isNull(), F.transform("_again", lambda x: x.bitwiseAND(mask))).otherwise(
+        F.transform(true, lambda x: x["p"].cast("long"))
+    )
+    out = out.withColumn("_places", F.sort_array(places))
     covered = F.aggregate(
         "_places",
         F.struct(F.lit(-3).cast("long").alias("p"), F.lit(0).cast("long").alias("n")),
@@ -92,7 +116,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.drop("_words", "_lines", "_grams", "_low", "_sorted", "_again", "_places")
+    return out.drop("_words", "_lines", "_grams", "_low", "_sorted", "_again", "_exact", "_places")
 
 
 def with_vector(stats: DataFrame) -> DataFrame:

@@ -119,3 +119,12 @@ def test_each_statistic_can_reject_alone(make):
         r = out[len(good) + k]
         assert not r.base_failed and not r.kept, (name, r)
         assert r.distance < 80
+
+
+def test_windows_whose_hashes_agree_are_told_apart(make, monkeypatch):
+    good, _ = texts(n=6)
+    rows = list(enumerate([*good, "a b c x a b c y d e f", "a a a a b", *ODD[:8]]))
+    true_hash = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.shiftleft(F.pmod(true_hash(*c), F.lit(4)), 60))
+    got = {r.doc_id: r.n_repeat_words for r in O.with_statistics(make(rows)).collect()}
+    assert got == {i: plain(t)[4] for i, t in rows}
