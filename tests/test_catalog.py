@@ -2,7 +2,7 @@ import pytest
 from oracle import database, differences
 
 import __spark_entry__ as entry
-from paneltide.plans.catalog import ORACLES, QUERIES
+from paneltide.plans.catalog import ORACLES, QUERIES, learning
 
 SF = "/root/testdata/sf0.001"
 CHECKED = (
@@ -34,3 +34,9 @@ def test_every_statement_has_a_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registered_panel_models_are_the_full_ones(spark):
+    boosted, forest = (learning._MODELS[k]() for k in ("boosted_trees", "random_forest"))
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (400, 6, 0.05)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 8)
