@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import chat, lengths, line_chunks, outliers, page_text, pseudonyms, simhash, suffix_array, warc
+from paneltide.llm import (
+    chat,
+    lengths,
+    line_chunks,
+    outliers,
+    page_text,
+    periodic_runs,
+    pseudonyms,
+    simhash,
+    suffix_array,
+    warc,
+)
 from paneltide.llm.byte_bpe import Vocabulary, round_trip
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,6 +92,33 @@ def op10_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_report(turns.union(added))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a period planted in the tail of one text in ten, chosen by its id; none without an id."""
+    value = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if value % 10 or not words:
+        return words
+    g, n = value // 10, len(words)
+    start = g % n
+    root = words[start : start + 1 + (n - start) // (3 + g % 8)]
+    return words[:start] + (root * (n // len(root) + 1))[: n - start]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.with_runs(docs, key="doc_id", rewrite=planted_period).select(
+        "doc_id", "runs", F.sha2("collapsed", 256).alias("collapsed_sha256"), periodic_runs.strongest(F.col("runs")).alias("best")
+    )
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_derivatives,
         op9_length_histogram,
         op10_budgeted_windows,
+        op11_periodic_runs,
     )
 }
 
@@ -139,6 +179,36 @@ gone as (select doc_id, count(*) filter (gone) as n_chunks from seen group by 1)
 select d.doc_id, case when d.text is not null then coalesce(kept.text, '') end as text,
   coalesce(n_chunks, 0) as n_chunks_removed, coalesce(n_lines, 0) as n_lines_removed
 from documents d left join kept using (doc_id) left join gone using (doc_id)
+""",
+    # equal stretches of 16 words: a run of 24 words and three periods holds one at its start and one a period later
+    "op11_periodic_runs": """
+with recursive crc(doc_id, left_bytes, c) as (
+  select doc_id, cast(doc_id as varchar), cast(4294967295 as bigint) from documents where doc_id is not null
+  union all
+  select doc_id, left_bytes[2:], list_reduce(list_prepend(xor(c, ascii(left_bytes[1])), [cast(0 as bigint)] || range(1, 8)),
+    lambda x, k: xor(x >> 1, (x & 1) * 3988292384)) from crc where left_bytes != ''),
+coded as (select doc_id, xor(c, 4294967295) as h from crc where left_bytes = ''),
+cut as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+planted as (select doc_id, w, len(w) as n, coalesce(h % 10 = 0, false) and len(w) > 0 as yes,
+    coalesce(h // 10, 0) % greatest(len(w), 1) as a, 3 + coalesce(h // 10, 0) % 8 as k from cut left join coded using (doc_id)),
+words as (select doc_id, i, w[case when yes and i >= a then a + (i - a) % (1 + (n - a) // k) else i end + 1] as word
+  from (select doc_id, w, yes, a, k, n, unnest(range(n)) as i from planted)),
+grams as (select doc_id, i, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 15 following) as g,
+    count(*) over (partition by doc_id order by i rows between current row and 15 following) as size from words),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from grams x join grams y on x.doc_id = y.doc_id and x.g = y.g and x.i < y.i
+  where x.size = 16 and y.size = 16),
+islands as (select doc_id, q, min(i) as start, max(i) - min(i) + 16 + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as part from pairs) group by doc_id, q, part),
+runs as (select doc_id, start, length, min(q) as period from islands where length >= greatest(24, 3 * q) group by 1, 2, 3),
+counts as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by 1),
+best as (select * from runs qualify row_number() over (partition by doc_id
+  order by cast(length as hugeint) * 1000000000000000 // period desc, start, period) = 1),
+dropped as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from words anti join dropped using (doc_id, i) group by 1)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, length * 1000 // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from documents d left join counts using (doc_id) left join best using (doc_id) left join kept using (doc_id)
 """,
     "op10_budgeted_windows": f"""
 with turns as (
