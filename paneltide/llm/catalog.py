@@ -19,11 +19,13 @@ from paneltide.llm import (
     pseudonyms,
     simhash,
     suffix_array,
+    token_alignment,
     warc,
 )
 from paneltide.llm.byte_bpe import Vocabulary, round_trip
 
 RANKS = "byte_bpe_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The key of the registered query; a real run passes its own.
 DEMO_KEY = b"paneltide-demo-key"
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -119,6 +121,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = map(public_tokenizers.path, ALIGNED)
+    both = token_alignment.RankedBytes(first, public_tokenizers.PATTERN), token_alignment.Pieces(second)
+    found = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *both)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -134,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_length_histogram,
         op10_budgeted_windows,
         op11_periodic_runs,
+        op12_token_alignment,
     )
 }
 
