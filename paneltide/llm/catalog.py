@@ -18,6 +18,7 @@ from paneltide.llm import (
     periodic_runs,
     pseudonyms,
     simhash,
+    substring_repeats,
     suffix_array,
     token_alignment,
     warc,
@@ -128,6 +129,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -144,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_budgeted_windows,
         op11_periodic_runs,
         op12_token_alignment,
+        op13_seed_extend_dedup,
     )
 }
 
@@ -219,6 +226,17 @@ kept as (select doc_id, string_agg(word, ' ' order by i) as t from words anti jo
 select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, length * 1000 // period as exponent_milli,
   sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
 from documents d left join counts using (doc_id) left join best using (doc_id) left join kept using (doc_id)
+""",
+    "op13_seed_extend_dedup": """
+with cut as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+words as (select doc_id, i, w[i + 1] as word from (select doc_id, w, unnest(range(len(w))) as i from cut)),
+windows as (select doc_id, i, string_agg(word, ' ') over o as g, count(*) over o as size from words
+  window o as (partition by doc_id order by i rows between current row and 19 following)),
+later as (select doc_id, i from windows where size = 20 qualify row_number() over (partition by g order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from later),
+kept as (select doc_id, count(*) as n_kept, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n_kept, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from cut left join kept using (doc_id)
 """,
     "op10_budgeted_windows": f"""
 with turns as (
