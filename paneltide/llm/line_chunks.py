@@ -164,7 +164,8 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
     lists = lists.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_marks")
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
-    joined = materialized(whole.drop("_text").join(lists, same, "left").drop("_id2", "_hash2"))
+    # the lists of a partition are short next to its texts, so they are hashed and the texts stay unsorted
+    joined = materialized(whole.drop("_text").join(lists.hint("shuffle_hash"), same, "left").drop("_id2", "_hash2"))
 
     # the bytes of all occurrences of a repeated hash, equal ones combined
     def texts(row):
@@ -184,7 +185,7 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         decided = clash.join(firsts, ["k1", "k2", "chunk"]).groupBy("_id", "_hash").agg(
             F.collect_set(F.struct("_no", (at == F.col("first")).alias("first"))).alias("_own")
         ).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_own")
-        joined = joined.join(decided, same, "left").drop("_id2", "_hash2").withColumn(
+        joined = joined.join(decided.hint("shuffle_hash"), same, "left").drop("_id2", "_hash2").withColumn(
             "_marks",
             F.transform(
                 "_marks",
