@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import anomaly as op
 from paneltide.operators import correlation, panel_model, seasonal
 from paneltide.operators.air_quality import binned_median
-from paneltide.operators.neighbours import factors, local_outlier_factor
+from paneltide.operators.neighbours import local_outlier_factor
 from paneltide.sources.sinks import write_anomalies
 from paneltide.spec import PanelSpec
 
@@ -62,29 +62,41 @@ def test_isolation_does_not_depend_on_partitions(planted):
 
 
 def brute_factors(x, k):
+    """The paper's definition over all rows; a tie with the k-th neighbour is a neighbour."""
     n = len(x)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    near = [sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k] for i in range(n)]
-    kd = [d[i, near[i][-1]] for i in range(n)]
-    lrd = [1 / (np.mean([max(d[i, j], kd[j]) for j in near[i]]) + 1e-10) for i in range(n)]
+    square = np.round(((x[:, None] - x[None]) ** 2).sum(-1), 8)
+    np.fill_diagonal(square, np.inf)
+    kth = np.sort(square, axis=1)[:, min(k, n - 1) - 1]
+    near = [np.flatnonzero(square[i] <= kth[i]) for i in range(n)]
+    lrd = [1 / (np.sqrt(np.maximum(square[i, near[i]], kth[near[i]])).mean() + 1e-10) for i in range(n)]
     return np.array([np.mean([lrd[j] for j in near[i]]) / lrd[i] for i in range(n)])
 
 
-def test_factors_equal_the_definition():
-    x = np.random.default_rng(4).normal(size=(40, 3))
-    assert np.allclose(factors(x, 7), brute_factors(x, 7), atol=1e-6)
-    assert np.isnan(factors(x[:3])).all()
-
-
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_factors_stay_within_equal_stretches(planted, limit):
-    vector = planted.withColumn("_x", F.array("temperature_celsius", "humidity"))
-    got = local_outlier_factor(vector, "_x", SPEC, neighbours=5, stretch=40, limit=limit).toPandas()
-    x = planted.orderBy("last_updated").toPandas().query("location_name == 'X'")
-    whole = x[["temperature_celsius", "humidity"]].to_numpy()
-    want = np.concatenate([brute_factors(p, 5) for p in np.split(whole, [38, 75, 113])])
-    have = got.query("location_name == 'X'").sort_values("last_updated")["lof"].to_numpy()
-    assert np.allclose(have, want, atol=1e-6)
+@pytest.mark.parametrize(("block", "chunk"), [(1024, 1024), (8, 1), (32, 3)])
+def test_factors_of_all_rows(spark, block, chunk):
+    rng = np.random.default_rng(block)
+    x = np.concatenate([
+        rng.normal(size=(150, 3)),
+        rng.integers(0, 4, size=(150, 3)).astype(float),  # many ties and equal rows
+        np.tile([[1.0, 2.0, 3.0]], (120, 1)),  # one vector in a quarter of all rows
+        [[40.0, 0.0, 0.0]],
+    ])
+    rows = [("A", f"p{i % 130}", i, [float(v) for v in r]) for i, r in enumerate(x)]  # most series have three rows
+    df = spark.createDataFrame(rows, "country string, location_name string, last_updated long, _x array<double>")
+    got = local_outlier_factor(df.repartition(3), "_x", SPEC, neighbours=6, block=block, chunk=chunk).toPandas()
+    have = got.sort_values("last_updated")["lof"].to_numpy()
+    assert np.allclose(have, brute_factors(x, 6), rtol=1e-7)
+
+
+def test_factors_of_few_rows(spark):
+    kind = "country string, location_name string, last_updated long, _x array<double>"
+    one = [("A", "p", 1, [1.0, 2.0])]
+    assert local_outlier_factor(spark.createDataFrame([], kind), "_x", SPEC).count() == 0
+    assert [r.lof for r in local_outlier_factor(spark.createDataFrame(one, kind), "_x", SPEC).collect()] == [None]
+    same = [("A", "p", k, [1.0, 2.0]) for k in range(5)]
+    assert [r.lof for r in local_outlier_factor(spark.createDataFrame(same, kind), "_x", SPEC).collect()] == [1.0] * 5
+    two = [("A", "p", 1, [0.0, 0.0]), ("A", None, 2, [3.0, 4.0])]
+    assert [r.lof for r in local_outlier_factor(spark.createDataFrame(two, kind), "_x", SPEC).collect()] == pytest.approx([1.0, 1.0])
 
 
 def test_lift_and_days(spark):
