@@ -25,25 +25,33 @@ def collisions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def last_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    wanted: Sequence[str] | None = None,
+    total: bool = False,
+) -> DataFrame:
     """The row of each key that comes last by ``order``, then by its other columns.
 
-    One aggregate over whole rows, combined on the map side; the result never depends on
-    the order of files or tasks.
+    One aggregate, combined on the map side; the result never depends on the order of files or
+    tasks. It returns the keys and the ``wanted`` columns. Where ``order`` is ``total``, no
+    other column is read; otherwise all take part in the comparison.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order]
+    wanted = [c for c in df.columns if wanted is None or c in wanted or c in keys]
+    rest = [c for c in (wanted if total else df.columns) if c not in keys and c not in order]
     chosen = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last"))
-    return chosen.select(*[c if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
+    return chosen.select(*[c if c in keys else F.col("_last")[c].alias(c) for c in wanted])
 
 
-def dedup(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:
-    """Drop exact copies, then keep the last row of each key and time.
+def dedup(df: DataFrame, spec: PanelSpec = WEATHER, wanted: Sequence[str] | None = None) -> DataFrame:
+    """Drop exact copies, then keep the last row of each key and time, or its ``wanted`` columns.
 
     "Last" follows ``spec.order``. Without one, all other columns decide, so the
     result never depends on file or task order. One heavily repeated key stays
     cheap because rows combine before the shuffle.
     """
-    return last_rows(df, spec.grain, spec.order)
+    return last_rows(df, spec.grain, spec.order, wanted, spec.total)
 
 
 def gate_bounds(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:

@@ -40,7 +40,7 @@ from {lineitem} join {supplier} on l_suppkey=s_suppkey
   join {nation} on s_nationkey=n_nationkey join {region} on n_regionkey=r_regionkey
 """
 
-PANEL = PanelSpec(order=("l_orderkey", "l_linenumber", "l_partkey"))
+PANEL = PanelSpec(order=("l_orderkey", "l_linenumber", "l_partkey"), total=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

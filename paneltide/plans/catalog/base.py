@@ -52,9 +52,9 @@ def portable(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with one row per grain key and impossible readings nulled."""
-    return gate_bounds(dedup(panel(spark, sf_dir), PANEL), PANEL)
+def gated(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The panel, or its ``wanted`` columns, with one row per grain key and impossible readings nulled."""
+    return gate_bounds(dedup(panel(spark, sf_dir), PANEL, wanted or None), PANEL)
 
 
 _GATES = ", ".join(

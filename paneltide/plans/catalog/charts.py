@@ -51,7 +51,7 @@ def value_histogram(spark, sf):
     ),
 )
 def wet_histogram(spark, sf):
-    return charts.wet_histogram(gated(spark, sf)).withColumnRenamed("count", "n")
+    return charts.wet_histogram(gated(spark, sf, "precip_mm")).withColumnRenamed("count", "n")
 
 
 @query(
@@ -114,7 +114,7 @@ r as (select x_bin, y_bin, count(*) as n, log10(count(*)) as log10_count from b
     ),
 )
 def density_grid(spark, sf):
-    out = charts.density_grid(gated(spark, sf), "humidity", "precip_mm")
+    out = charts.density_grid(gated(spark, sf, "humidity", "precip_mm"), "humidity", "precip_mm")
     return out.withColumnRenamed("count", "n")
 
 
@@ -149,7 +149,7 @@ def box_by_month(spark, sf):
     ),
 )
 def box_by_zone(spark, sf):
-    places = climate.place_period_means(gated(spark, sf), "climate_zone", PANEL)
+    places = climate.place_period_means(gated(spark, sf, _Y, "latitude"), "climate_zone", PANEL)
     return charts.box_stats(places, ["climate_zone"], "place_mean")
 
 
@@ -178,7 +178,7 @@ def box_by_continent(spark, sf):
     ),
 )
 def monthly_band(spark, sf):
-    return charts.monthly_band(gated(spark, sf), PANEL)
+    return charts.monthly_band(gated(spark, sf, _Y), PANEL)
 
 
 @query(
@@ -191,4 +191,4 @@ r as (select cut, count_if({_Y} <= cut) as n_flagged, count({_Y}) as n_scores fr
     ),
 )
 def score_cut(spark, sf):
-    return charts.score_cut(gated(spark, sf), _Y, 0.01)
+    return charts.score_cut(gated(spark, sf, _Y), _Y, 0.01)

@@ -50,11 +50,11 @@ summary as (select model, avg(mae) as mae, avg(rmse) as rmse, avg(smape) as smap
 
 
 def daily(spark, sf):
-    return op.daily_series(gated(spark, sf), SERIES)
+    return op.daily_series(gated(spark, sf, *SERIES.keys, SERIES.value), SERIES)
 
 
 def folds(spark, sf, **options):
-    return op.make_time_folds(gated(spark, sf), SERIES.time, **options)
+    return op.make_time_folds(gated(spark, sf, SERIES.value), SERIES.time, **options)
 
 
 @query("daily_series", sql(DAILY, f"{_KO} day:d y:f", "daily"))

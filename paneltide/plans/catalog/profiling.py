@@ -81,7 +81,7 @@ r as (select country, count(*) as n_days, round(count_if(precip_mm <= 0) * 100.0
     ),
 )
 def zero_inflation(spark, sf):
-    return profiling.zero_inflation(gated(spark, sf), PANEL)
+    return profiling.zero_inflation(gated(spark, sf, "precip_mm"), PANEL)
 
 
 @query(
@@ -96,7 +96,7 @@ r as (select * from (select * from d order by pct_dry, country limit 5)
     ),
 )
 def dry_extremes(spark, sf):
-    return profiling.dry_extremes(gated(spark, sf), PANEL, k=5)
+    return profiling.dry_extremes(gated(spark, sf, "precip_mm"), PANEL, k=5)
 
 
 @query(
@@ -127,7 +127,7 @@ def series_positions(spark, sf):
     ),
 )
 def average_ranks(spark, sf):
-    counts = value_counts(gated(spark, sf), ["country"], ["humidity"])
+    counts = value_counts(gated(spark, sf, "humidity"), ["country"], ["humidity"])
     ranked = ranks_of_counts(counts, ["country"])
     return ranked.select("country", "v", ranked["rank"].alias("avg_rank"))
 

@@ -30,7 +30,7 @@ CYCLE = f"""{PLACES}, cycle as (select climate_zone, period as year_month, avg(p
     sql(CYCLE, "climate_zone:s year_month:d mean:f std:f p10:f p90:f n_cities:i", "cycle"),
 )
 def seasonal_cycle(spark, sf):
-    return climate.seasonal_cycle(gated(spark, sf), spec=PANEL)
+    return climate.seasonal_cycle(gated(spark, sf, _Y, "latitude"), spec=PANEL)
 
 
 @query(
@@ -38,7 +38,7 @@ def seasonal_cycle(spark, sf):
     sql(PLACES, "climate_zone:s country:s location_name:s period:d place_mean:f", "places"),
 )
 def place_period_means(spark, sf):
-    return climate.place_period_means(gated(spark, sf), "climate_zone", PANEL)
+    return climate.place_period_means(gated(spark, sf, _Y, "latitude"), "climate_zone", PANEL)
 
 
 @query(
@@ -54,7 +54,7 @@ r as (select *, mean - lag(mean) over (partition by continent order by period) a
 )
 def period_over_period(spark, sf):
     return climate.period_over_period(
-        gated(spark, sf), "continent", PANEL, dimension=country_regions(spark, sf)
+        gated(spark, sf, _Y, "latitude"), "continent", PANEL, dimension=country_regions(spark, sf)
     )
 
 
@@ -87,7 +87,7 @@ r as (select climate_zone, {_MONTHS} from g group by climate_zone)""",
     ),
 )
 def month_grid(spark, sf):
-    return climate.month_grid(climate.seasonal_cycle(gated(spark, sf), spec=PANEL))
+    return climate.month_grid(climate.seasonal_cycle(gated(spark, sf, _Y, "latitude"), spec=PANEL))
 
 
 LATEST = """latest as (select * from gated qualify row_number() over (
@@ -227,7 +227,7 @@ r as (select case when lo = hi then m - 1 else lo end as lo, case when lo = hi t
     ),
 )
 def robust_range(spark, sf):
-    return spatial.robust_range(gated(spark, sf), _Y)
+    return spatial.robust_range(gated(spark, sf, _Y), _Y)
 
 
 @query(
@@ -254,7 +254,7 @@ shares as (select continent, epa_label, "count" as n, "count" / sum("count") ove
 @query("category_share", sql(SHARES, "continent:s epa_label:s n:i share:f", "shares"))
 def category_share(spark, sf):
     return air_quality.category_share(
-        gated(spark, sf), spec=PANEL, dimension=country_regions(spark, sf)
+        gated(spark, sf, "air_quality_us_epa_index", "latitude"), spec=PANEL, dimension=country_regions(spark, sf)
     ).withColumnRenamed("count", "n")
 
 
@@ -278,7 +278,7 @@ def _slug(label):
 )
 def category_share_grid(spark, sf):
     shares = air_quality.category_share(
-        gated(spark, sf), spec=PANEL, dimension=country_regions(spark, sf)
+        gated(spark, sf, "air_quality_us_epa_index", "latitude"), spec=PANEL, dimension=country_regions(spark, sf)
     )
     return air_quality.share_grid(shares).withColumnsRenamed(
         {x: _slug(x) for x in AIR_QUALITY_LABELS}
@@ -305,4 +305,4 @@ r_{driver} as (select '{driver}' as driver, any_value(edges)[b] as bin_low, any_
     ),
 )
 def binned_median(spark, sf):
-    return air_quality.binned_median(gated(spark, sf))
+    return air_quality.binned_median(gated(spark, sf, "wind_kph", "precip_mm", "air_quality_pm2_5"))

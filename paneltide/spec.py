@@ -85,6 +85,8 @@ class PanelSpec:
     # Total order among rows of one (keys, time); without it ties fall back to
     # all remaining columns.
     order: tuple[str, ...] = ()
+    # Whether ``order`` tells any two rows of one (keys, time) apart; readers of few columns then skip the rest.
+    total: bool = False
     country: str = "country"
     latitude: str = "latitude"
     longitude: str = "longitude"
