@@ -82,6 +82,13 @@ class Feistel:
                 out[i] = alphabets[i][k]
         return "".join(out)
 
+    def signs_while(self, kind: str, text: str, alphabets: list[str], outside, back: bool = False) -> str:
+        """``signs``, walked on while the result is ``outside`` the class that ``text`` belongs to."""
+        while True:
+            text = self.signs(kind, text, alphabets, back)
+            if not outside(text):
+                return text
+
 
 def _classes(text: str) -> list[str]:
     return [_DIGITS if c in _DIGITS else _LOWER if c in _LOWER else _UPPER if c in _UPPER else "" for c in text]
@@ -136,10 +143,16 @@ def _ssn(f: Feistel, m: re.Match, back: bool) -> str | None:
     return _refill(m[0], f"{areas[x]:03d}{y // 9999 + 1:02d}{y % 9999 + 1:04d}")
 
 
+_AMERICAN = re.compile("1[2-9][0-9]{2}[2-9][0-9]{6}")
+
+
 def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
     digits = "".join(c for c in m[0] if c in _DIGITS)
-    american = re.fullmatch(r"1?[2-9][0-9]{2}[2-9][0-9]{6}", digits)
-    if m[0].startswith("+") and not american:
+    plus = m[0].startswith("+")
+    american = re.fullmatch(("1" if plus else "1?") + "[2-9][0-9]{2}[2-9][0-9]{6}", digits)
+    if plus and not american and digits[0] == "1" and len(digits) == 11:  # no such area: a format of its own
+        return _refill(m[0], f.signs_while("phone+1", digits, [""] + [_DIGITS] * 10, _AMERICAN.fullmatch, back))
+    if plus and not american:
         if not 8 <= len(digits) <= 15 or digits[0] in "01":
             return None
         return _refill(m[0], f.signs("phone", digits, ["", "", ""] + [_DIGITS] * (len(digits) - 3), back))
@@ -164,14 +177,19 @@ def _email(f: Feistel, m: re.Match, back: bool) -> str | None:
     return f"{f.signs('email@' + domain.lower(), local, _classes(local), back)}@{domain}"
 
 
+_HEX_VALUE = re.compile("[0-9a-f]+")
+
+
 def _secret(f: Feistel, m: re.Match, back: bool) -> str | None:
     start, end = next((m.span(k) for k in range(1, m.re.groups + 1) if m[k]), m.span())
     at = m.start()
     value = m.string[start:end]
     if not _ANY_DIGIT.search(value):
         return None
-    hexadecimal = re.fullmatch("[0-9a-f]+", value)
-    new = f.signs("secret", value, [_HEX] * len(value) if hexadecimal else _classes(value), back)
+    if _HEX_VALUE.fullmatch(value):  # the pseudonym has a digit too
+        new = f.signs_while("hex", value, [_HEX] * len(value), lambda v: not _ANY_DIGIT.search(v), back)
+    else:  # nor is that of another value hexadecimal
+        new = f.signs_while("secret", value, _classes(value), _HEX_VALUE.fullmatch, back)
     return m[0][: start - at] + new + m[0][end - at :]
 
 

@@ -17,6 +17,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 import uuid
 from collections.abc import Iterator
 
@@ -105,6 +106,38 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
+def _dechunked(body: bytes) -> bytes | None:
+    """The data of a chunked body; nothing if it is not made of chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"([0-9A-Fa-f]+)[ \t]*(;.*)?", body[at:end], re.S) if end >= 0 else None
+        if size is None:
+            return None
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def decoded_body(named: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without chunks and compression; a body that is not as its headers say stays as it is."""
+    coded = {n.lower(): v.lower() for n, v in named if n.lower() in ("transfer-encoding", "content-encoding")}
+    if "chunked" in coded.get("transfer-encoding", ""):
+        whole = _dechunked(body)
+        body = body if whole is None else whole
+    if re.search("gzip|deflate", coded.get("content-encoding", "") + coded.get("transfer-encoding", "")):
+        for window in (47, -15):  # with a header of gzip or zlib, and bare
+            try:
+                return zlib.decompressobj(window).decompress(body)
+            except zlib.error:
+                continue
+    return body
+
+
 def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str, str, list[tuple[str, str]], bytes]]:
     """(type, record id, fields, block) of the two records made from one response."""
     by_name = {}
@@ -113,12 +146,13 @@ def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str,
     source = by_name.get("warc-record-id", "")
     status, named, body = http_parts(block)
     declared = next((v for n, v in named if n.lower() == "content-type"), "")
-    found = _CHARSET.search(declared) or _CHARSET.search(body[:2048].decode("latin-1"))
+    plain = decoded_body(named, body)
+    found = _CHARSET.search(declared) or _CHARSET.search(plain[:2048].decode("latin-1"))
     charset = found[1] if found else "utf-8"
     try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        charset, page = "utf-8", body.decode("utf-8", "replace")
+        page = plain.decode(charset, "replace")
+    except (LookupError, UnicodeError):  # unknown, or a codec that cannot replace what it cannot read
+        charset, page = "utf-8", plain.decode("utf-8", "replace")
     text = main_text(page).encode("utf-8", "replace")
     ids = {kind: record_id(source, by_name.get("warc-target-uri", ""), kind) for kind in ("conversion", "metadata")}
     kept = [(n, by_name[n.lower()]) for n in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID") if n.lower() in by_name]
@@ -128,7 +162,7 @@ def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str,
     facts += [("http-status", status or "unknown"), ("charset", charset)]
     facts += [(f"http-header-{n.lower()}", v) for n, v in named]
     facts += [("text-characters", str(len(text.decode("utf-8")))), ("text-digest", digest(text))]
-    facts += [("outlink", next(x for x in m.groups() if x is not None).decode("utf-8", "replace")) for m in _LINK.finditer(body)]
+    facts += [("outlink", next(x for x in m.groups() if x is not None).decode("utf-8", "replace")) for m in _LINK.finditer(plain)]
     about = "".join(f"{n}: {_line(v)}\r\n" for n, v in facts).encode()
     out = []
     for kind, content, data, more in (

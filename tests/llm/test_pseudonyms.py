@@ -65,3 +65,34 @@ def test_frame(spark, make):
             assert r.n_replaced == sum(r[f"n_{k}"] for k in P.NAMES)
     assert sum(r.n_replaced for r in got) == 40
     assert P.report(make([]), b"k").count() == 0
+
+
+def random_values(kind, rng):
+    """A value of the kind, of every shape its rule knows."""
+
+    def some(signs, n):
+        return "".join(rng.choice(signs) for _ in range(n))
+
+    if kind == "secret":
+        signs = rng.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCxyz0123456789"])
+        return f"password={some(signs, rng.randint(6, 9))}7"
+    if kind == "american":
+        return f"({some('23456789', 1)}{some('0123456789', 2)}) {some('23456789', 1)}{some('0123456789', 2)}-{some('0123456789', 4)}"
+    if kind == "+1":
+        return f"+1 ({some('0123456789', 3)}) {some('0123456789', 3)}-{some('0123456789', 4)}"
+    return f"+{some('23456789', 1)}{some('0123456789', 1)} {some('0123456789', 2)} {some('0123456789', rng.randint(6, 8))}"
+
+
+@pytest.mark.parametrize("kind", ["secret", "american", "+1", "+"])
+def test_values_are_permuted_one_to_one(kind):
+    rng = random.Random(len(kind))
+    values = {random_values(kind, rng) for _ in range(4000)}
+    made = {}
+    changed = 0
+    for value in values:
+        new, counts = P.pseudonymized(value, KEY)
+        assert P.pseudonymized(new, KEY, back=True)[0] == value, (value, new)
+        assert P.pseudonymized(new, KEY)[1] == counts
+        assert made.setdefault(new, value) == value
+        changed += bool(counts)
+    assert changed > 0.99 * len(values)

@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -54,3 +56,29 @@ def test_files_come_back(spark, tmp_path):
 
     assert key(back.collect()) == key(made.collect())
     assert W.derive(back).count() == 0  # no responses among them
+
+
+def made(head, body):
+    block = ("HTTP/1.1 200 OK\r\n" + head + "\r\n").encode() + body
+    out = W.derivatives([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "u")], block)
+    return {kind: data for kind, _, _, data in out}
+
+
+def test_odd_charsets_compressed_and_chunked_bodies():
+    page, wanted = PAGE.encode(), "Über text, with commas, and a link.".encode()
+    for name in ("idna", "undefined", "punycode", "hex", "rot13", "no-such", "utf-8"):
+        assert set(made(f"Content-Type: text/html; charset={name}\r\n", page)) == {"conversion", "metadata"}
+    for name in ("idna", "undefined", "no-such", "utf-8"):
+        assert made(f"Content-Type: text/html; charset={name}\r\n", page)["conversion"] == wanted, name
+    packed = gzip.compress(page)
+    bare = zlib.compressobj(wbits=-15)
+    bare = bare.compress(page) + bare.flush()
+    for kind, body in (("gzip", packed), ("deflate", zlib.compress(page)), ("deflate", bare)):
+        got = made(f"Content-Encoding: {kind}\r\n", body)
+        assert got["conversion"] == wanted and b"outlink: /x\r\n" in got["metadata"]
+        assert ("source-payload-digest: " + W.digest(body)).encode() in got["metadata"]  # of the bytes as they came
+    chunks = b"".join(b"%x;n=1\r\n%s\r\n" % (len(c), c) for c in (packed[:20], packed[20:])) + b"0\r\n\r\n"
+    assert made("Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunks)["conversion"] == wanted
+    for head in ("Transfer-Encoding: chunked\r\n", "Content-Encoding: gzip\r\n"):  # not as the header says
+        assert made(head, page)["conversion"] == wanted
+    assert set(made("Content-Encoding: gzip\r\n", packed[:30])) == {"conversion", "metadata"}
