@@ -3,11 +3,13 @@
 A line goes if it lies in a run of whole lines of more than ``LONG`` words that also begins at
 an earlier place, by id and line. Such a run is covered by its shortest stretches: from each
 line down to the first line, and from each line up to the last line, at which more than
-``LONG`` words are reached. The words of a stretch are a matter of its lines alone, so the
-earlier place has the same stretches, and nothing depends on what stands around them. The
-hashes of the stretches are counted over the whole corpus, and the lines of every occurrence
-but the first, by id and place, are removed. Before that, the bytes of all occurrences are
-compared by grouping them; different stretches that share a hash are told apart.
+``LONG`` words are reached. Each line has a hash, and a rolling hash runs over the hashes of
+two lines. The least rolling hash inside a stretch is its anchor, so equal stretches have equal
+anchors wherever they stand, and an inserted line moves anchors only near itself. First only
+anchors are counted over the whole corpus. Around those that are found more than once the
+stretches are told apart by a hash over their line hashes, taken from running sums. Repeated
+ones are compared by bytes, different stretches that share a hash are parted, and the lines of
+every occurrence but the first, by id and place, are removed.
 
 The rule ``content_chunks`` is the coarser one that the SQL of ``op3_line_chunks`` states: each
 line has a hash; a rolling hash over the hashes of a line and the one before it decides
@@ -15,7 +17,7 @@ whether a chunk ends after the line, so an inserted line moves boundaries only n
 line of more than ``LONG`` words is a chunk of its own. Chunks of at least two lines with words
 and ``LEAST`` words in all, and the long lines, are counted.
 
-Counting moves only hashes. The texts are shuffled once, to meet the list of their repeated
+Counting moves only hashes, and its work grows with the lines. The texts are shuffled once, to meet the list of their repeated
 stretches; of the bytes only those of repeated hashes move, and equal ones are combined
 before the shuffle.
 
@@ -27,8 +29,10 @@ document whose lines are all removed keeps its row with an empty text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ from paneltide.session import materialized
 
 #: The rolling hash is taken modulo PRIME over two lines; one line in EVERY ends a chunk.
 PRIME, BASE, EVERY = (1 << 31) - 1, 1_000_003, 3
+#: Modulus and bases of the rolling hash of anchors and of the hashes of stretches.
+WIDE, BASES = (1 << 61) - 1, (1_000_000_007, 998_244_353)
 #: Words of a chunk at least; words above which a line is a chunk of its own.
 LEAST, LONG = 10, 50
 
@@ -51,7 +57,7 @@ def chunks(text: str) -> list[tuple[int, int, int, int]]:
     lines = text.encode().split(b"\n")
     for i, line in enumerate(lines):
         n = len(line.split())
-        value = int(hashlib.md5(line).hexdigest()[:15], 16) % PRIME
+        value = line_hash(line) % PRIME
         if n > LONG and i > start:
             out.append((start, i, words, filled))
             start, words, filled = i, 0, 0
@@ -70,18 +76,18 @@ def content_chunks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b, words, filled in chunks(text) if words > LONG or filled >= 2 and words >= LEAST]
 
 
-def passages(text: str) -> list[tuple[int, int]]:
-    """Line ranges of the shortest stretches of more than ``LONG`` words, down and up from each line."""
-    sizes = [len(line.split()) for line in text.encode().split(b"\n")]
-    found: set[tuple[int, int]] = set()
+def stretches(sizes: Sequence[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The shortest ranges of more than ``LONG`` words down and up from each line, in order of their ends."""
+    down: list[tuple[int, int]] = []
     end = words = 0
     for start, n in enumerate(sizes):
         while end < len(sizes) and words <= LONG:
             words, end = words + sizes[end], end + 1
         if words <= LONG:
             break
-        found.add((start, end))
+        down.append((start, end))
         words -= n
+    up: list[tuple[int, int]] = []
     start, words = len(sizes), 0
     for end in range(len(sizes), 0, -1):
         while start and words <= LONG:
@@ -89,9 +95,50 @@ def passages(text: str) -> list[tuple[int, int]]:
             words += sizes[start]
         if words <= LONG:
             break
-        found.add((start, end))
+        up.append((start, end))
         words -= sizes[end - 1]
-    return sorted(found)
+    return down, up[::-1]
+
+
+def passages(text: str) -> list[tuple[int, int]]:
+    """Line ranges of the shortest stretches of more than ``LONG`` words, down and up from each line."""
+    down, up = stretches([len(line.split()) for line in text.encode().split(b"\n")])
+    return sorted({*down, *up})
+
+
+def anchors(lines: Sequence[int], sizes: Sequence[int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each stretch the line of its anchor and the anchor: the least rolling hash of two of its lines, or its only line's hash."""
+    rolled = [(a * BASES[0] + b) % WIDE for a, b in zip(lines, lines[1:])]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for family in stretches(sizes):
+        least: deque[int] = deque()  # places of rolling hashes that may become the least, smallest first
+        seen = 0
+        for start, end in family:
+            while seen < end - 1:
+                while least and rolled[least[-1]] > rolled[seen]:
+                    least.pop()
+                least.append(seen)
+                seen += 1
+            while least and least[0] < start:
+                least.popleft()
+            out[start, end] = (least[0], rolled[least[0]]) if end - start > 1 else (start, lines[start])
+    return out
+
+
+def stretch_keys(lines: Sequence[int], ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Two hashes of each range of line hashes, from running sums: the same work whatever its length."""
+    columns = []
+    for base in BASES:
+        sums, powers = [0], [1]
+        for value in lines:
+            sums.append((sums[-1] * base + value + 1) % WIDE)
+            powers.append(powers[-1] * base % WIDE)
+        columns.append([(sums[b] - sums[a] * powers[b - a]) % WIDE for a, b in ranges])
+    return list(zip(*columns))
+
+
+def line_hash(line: bytes) -> int:
+    return int(hashlib.md5(line).hexdigest()[:15], 16)
 
 
 #: Maps a text to the line ranges that are counted; ranges may overlap.
@@ -121,13 +168,13 @@ def _key(chunk: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def _listed(docs: DataFrame, schema: T.StructType, rows) -> DataFrame:
-    """Rows that ``rows(batch row as dict)`` yields for each row of ``docs``."""
+def _listed(docs: DataFrame, schema: T.StructType, rows, sized: str = "_text") -> DataFrame:
+    """Rows that ``rows(batch row as dict)`` yields for each row of ``docs``, by slices of the bytes of column ``sized``."""
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
+            texts = batch.column(batch.schema.get_field_index(sized))
             for start, end in slices(texts):
                 out = [r for row in batch.slice(start, end - start).to_pylist() for r in rows(row)]
                 yield pa.RecordBatch.from_arrays(
@@ -137,6 +184,38 @@ def _listed(docs: DataFrame, schema: T.StructType, rows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _anchored(narrow: DataFrame, own: list[T.StructField]) -> DataFrame:
+    """The stretches whose anchor is found more than once: _id, _hash, _no, k1, k2."""
+
+    def lined(row):
+        if row["_text"] is not None:
+            lines = row["_text"].encode().split(b"\n")
+            hashes, sizes = [line_hash(line) for line in lines], [len(line.split()) for line in lines]
+            found = sorted(set(anchors(hashes, sizes).values()))
+            if found:
+                yield row["_id"], row["_hash"], np.array(hashes, "<i8").tobytes(), np.array(sizes, "<i4").tobytes(), [a for _, a in found]
+
+    fields = [T.StructField("_lines", T.BinaryType()), T.StructField("_sizes", T.BinaryType())]
+    fields.append(T.StructField("_anchors", T.ArrayType(T.LongType())))
+    table = materialized(_listed(narrow, T.StructType(own + fields), lined))
+    each = table.select("_id", "_hash", F.explode("_anchors").alias("anchor"))
+    counts = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = each.join(counts, "anchor", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("anchor").alias("_wanted"))
+    wanted = wanted.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_wanted")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
+    met = table.drop("_anchors").join(wanted.hint("shuffle_hash"), same).drop("_id2", "_hash2")
+
+    def extended(row):
+        lines, sizes = np.frombuffer(row["_lines"], "<i8").tolist(), np.frombuffer(row["_sizes"], "<i4").tolist()
+        again, held = set(row["_wanted"]), anchors(lines, sizes)
+        ranges = sorted(held)
+        keep = [k for k, at in enumerate(ranges) if held[at][1] in again]
+        return ((row["_id"], row["_hash"], k, *key) for k, key in zip(keep, stretch_keys(lines, [ranges[k] for k in keep])))
+
+    keys = [T.StructField(n, T.LongType()) for n in ("_no", "k1", "k2")]
+    return _listed(met, T.StructType(own + keys), extended, "_lines")
+
+
 def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rule: Rule = passages) -> DataFrame:
     """``docs`` with later occurrences of repeated ranges of lines cut out of its text.
 
@@ -153,9 +232,12 @@ def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     place = [id_field, T.StructField("_hash", T.LongType()), T.StructField("_no", T.LongType())]
     keys = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
     narrow = whole.select("_id", "_hash", "_text")
-    found = materialized(
-        _listed(narrow, T.StructType(place + keys), lambda r: ((r["_id"], r["_hash"], k, *_key(c)) for k, c in candidates(r["_text"], rule)))
-    )
+    if rule is passages:
+        found = materialized(_anchored(narrow, place[:2]))
+    else:
+        found = materialized(
+            _listed(narrow, T.StructType(place + keys), lambda r: ((r["_id"], r["_hash"], k, *_key(c)) for k, c in candidates(r["_text"], rule)))
+        )
     at = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_no")
     repeated = found.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     marked = found.join(repeated, ["k1", "k2"])

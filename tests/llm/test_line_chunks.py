@@ -47,16 +47,67 @@ def test_equals_a_walk_over_the_corpus(make):
     assert got[45][0] == "short\nlines"
 
 
-def test_boundaries_move_only_near_an_inserted_line():
+def walked(rows):
+    """Lines in a run of more than 50 words that also begins at an earlier place removed; shares no code with the library."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split(" ")) if x else 0 for x in lines[a:b]) > 50:
+                    if "\n".join(lines[a:b]) in seen:
+                        gone.update(range(a, b))
+                    seen.add("\n".join(lines[a:b]))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_equals_all_runs_tried(make):
+    rng = random.Random(5)
+    pool = [" ".join(rng.choice("ab") * rng.randint(1, 3) for _ in range(n)) for n in (0, 1, 1, 2, 5, 8, 13, 20, 30, 51, 70)]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(pool) for _ in range(rng.randint(1, 14))]
+        if i % 5 == 0:  # many one-word lines, and a text that repeats itself
+            lines = [rng.choice("xyz") for _ in range(rng.randint(40, 80))] + ["end " * 9 + "end"]
+            lines += lines[: rng.randint(0, len(lines))]
+        if i % 4 == 1:
+            lines[1:1] = rows[-1][1].split("\n")
+        rows.append((i, "\n".join(lines)))
+    assert {r.doc_id: r.text for r in L.dedup_chunks(make(rows)).collect()} == walked(rows)
+
+
+def hashed(lines):
+    return [L.line_hash(x.encode()) for x in lines], [len(x.split()) for x in lines]
+
+
+def test_anchors_move_only_near_an_inserted_line():
     _, passage = corpus()
-    whole = {c for _, c in L.candidates("\n".join(passage))}
-    moved = {c for _, c in L.candidates("\n".join(["some other line", "x", *passage]))}
-    assert len(whole & moved) >= len(whole) - 1
+    whole = {a for _, a in L.anchors(*hashed(passage)).values()}
+    moved = {a for _, a in L.anchors(*hashed([*passage[:7], "some other line", *passage[7:]])).values()}
+    assert whole <= {a for _, a in L.anchors(*hashed(["x", *passage, "y"])).values()}
+    assert len(whole) > 1 and len(whole - moved) <= 2
+
+
+def test_anchor_is_the_least_inside_its_stretch():
+    rng = random.Random(4)
+    lines = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.choice((0, 1, 9, 30, 60)))) for _ in range(300)]
+    values, sizes = hashed(lines)
+    for (a, b), (at, anchor) in L.anchors(values, sizes).items():
+        assert a <= at < b
+        assert anchor == (values[a] if b == a + 1 else min((values[k] * L.BASES[0] + values[k + 1]) % L.WIDE for k in range(a, b - 1)))
+
+
+def test_chunk_boundaries_move_only_near_an_inserted_line():
+    rng = random.Random(6)
+    lines = [" ".join(str(rng.random()) for _ in range(6)) for _ in range(60)]
+    cut = lambda ls: {"\n".join(ls[a:b]) for a, b, _, _ in L.chunks("\n".join(ls))}
+    assert len(cut(lines) - cut([*lines[:30], "one more", *lines[30:]])) <= 2
 
 
 def test_hash_clash_is_decided_by_bytes(make, monkeypatch):
     rows, _ = corpus()
-    monkeypatch.setattr(L, "_key", lambda chunk: (len(chunk) % 2, 0))
+    monkeypatch.setattr(L, "stretch_keys", lambda lines, ranges: [((b - a) % 2, 0) for a, b in ranges])
     cloudpickle.register_pickle_by_value(L)
     try:
         got = {r.doc_id: (r.text, r.n_chunks_removed) for r in L.dedup_chunks(make(rows)).collect()}
