@@ -2,9 +2,10 @@
 
 A page becomes a tree of elements with their text blocks. Elements that are never part
 of an article (menus, footers, forms, adverts, comments and the like) are left out; each
-remaining block passes points for its length and commas to its ancestors, less with each
-level and with the share of its text inside links. The best container and those of
-its siblings that score well are kept, and all their blocks joined in page order.
+remaining block passes points for its length and commas to its ancestors, half to the parent
+and a third of the rest with each level more, and less by the share of its text inside links.
+The best container and those of its siblings that score well are kept, and all their blocks
+joined in page order. Time grows with the length of a page, however deep or unclosed it is.
 
 Defined cases: a null page is empty; a page without any element is one block; unclosed,
 stray and misnested tags are closed by their surroundings; ties go to the earlier element.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +23,13 @@ from pyspark.sql import types as T
 
 from paneltide.llm.batches import append_columns
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+_PLAIN = (
+    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*>",
-    re.S,
+    r"|</?[a-zA-Z][^>]*>"
 )
+_TOKEN = re.compile(r"<!\[CDATA\[.*?\]\]>|" + _PLAIN, re.S)
+_TOKEN_AFTER_CDATA = re.compile(_PLAIN, re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # fixed values: element names of HTML by their role
 _RAW = {"script", "style", "textarea", "title", "template", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -47,6 +50,10 @@ _CLOSED_BY = {  # an open element on the left ends where one on the right begins
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
     "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "head": {"body"},
 }
+_CLOSES: dict[str, list[str]] = {}  # the other way round: what an element that begins ends
+for _open, _next in _CLOSED_BY.items():
+    for _tag in _next:
+        _CLOSES.setdefault(_tag, []).append(_open)
 _SCOPE = {"table", "article", "section", "main", "body", "html", "ul", "ol", "dl", "div", "td", "th"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _BAD = {
@@ -61,17 +68,19 @@ _GOOD = {"article", "body", "content", "entry", "main", "post", "story", "text",
 _KEEP = {"html", "body", "main", "article"}
 _ASIDES = {"comment", "comments", "reply", "replies", "related", "promo", "promoted", "sponsored", "ad", "advert"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PARAGRAPHS = _HEADINGS | {"p"}
 _COMMA = re.compile("[,،、，]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "bad", "weight", "score", "order", "semantic", "holds")
+    __slots__ = ("tag", "parent", "bad", "weight", "score", "passed", "order", "semantic", "inside", "held")
 
     def __init__(self, tag: str, parent: Node | None, order: int, bad: bool, weight: int, semantic: bool) -> None:
         self.tag, self.parent, self.order, self.bad, self.weight, self.semantic = tag, parent, order, bad, weight, semantic
-        self.score = 0.0
-        self.holds = False
+        self.score = self.passed = 0.0  # points of its own blocks, and points passed up to it
+        self.inside = parent is not None and (parent.semantic or parent.inside)
+        self.held = False
 
 
 def _judged(tag: str, attrs: str, parent: Node | None) -> tuple[bool, int, bool]:
@@ -94,14 +103,12 @@ def _judged(tag: str, attrs: str, parent: Node | None) -> tuple[bool, int, bool]
         return True, 0, False
     if values.get("role") in _ROLES:
         return True, 0, False
-    inside = parent
-    while inside is not None and not inside.semantic:
-        inside = inside.parent
+    inside = parent is not None and (parent.semantic or parent.inside)
     if tag == "header":
-        return inside is None, weight, False
+        return not inside, weight, False
     bad = any(
         w in _BAD and not (k and part[k - 1] in ("with", "has", "no", "without")) for part in tokens for k, w in enumerate(part)
-        if not (w == "header" and inside is not None)
+        if not (w == "header" and inside)
     )
     return bad, weight, False
 
@@ -109,17 +116,20 @@ def _judged(tag: str, attrs: str, parent: Node | None) -> tuple[bool, int, bool]
 def _parsed(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The elements in page order and the text blocks: element, text, characters inside links."""
     root = Node("#page", None, 0, False, 0, False)
-    nodes, stack, blocks = [root], [root], []
+    nodes, blocks = [root], []
+    # the open elements, and for each the element that owns text in it; where each tag, a block and a scope are open
+    stack, owners = [root], [root]
+    places: dict[str, list[int]] = defaultdict(list)
+    open_blocks, open_scopes = [0], [0]
     pieces: list[str] = []
-    linked = links = 0
-    owner = root
+    linked = 0
 
     def flush() -> None:
         nonlocal linked, pieces
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append((owner, text, linked))
+                blocks.append((owners[-1], text, linked))
             pieces = []
         linked = 0
 
@@ -128,40 +138,57 @@ def _parsed(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if raw:
             value = html.unescape(raw) if "&" in raw else raw
             pieces.append(value)
-            if links:
+            if places["a"]:
                 linked += len(value.strip())
 
-    def settle() -> None:
-        nonlocal owner, links
-        owner = next(n for n in reversed(stack) if n.tag in _BLOCK or n.bad or n.parent is None)
-        links = sum(n.tag == "a" for n in stack)
+    def opened(node: Node) -> None:
+        k = len(stack)
+        stack.append(node)
+        owners.append(node if node.tag in _BLOCK or node.bad else owners[-1])
+        places[node.tag].append(k)
+        if node.tag in _BLOCK:
+            open_blocks.append(k)
+        if node.tag in _SCOPE and node.tag not in _CLOSED_BY:
+            open_scopes.append(k)
+
+    def closed(k: int) -> None:
+        """End all open elements from place ``k`` on, and links ended before them."""
+        while len(stack) > k or stack[-1] is None:
+            owners.pop()
+            node = stack.pop()
+            if node is not None:
+                places[node.tag].pop()
+        while open_blocks[-1] >= k:
+            open_blocks.pop()
+        while open_scopes[-1] >= k:
+            open_scopes.pop()
 
     at, end = 0, len(page)
+    tags_end, cdata_end = page.rfind(">") + 1, page.rfind("]]>")
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+        m = (_TOKEN if at <= cdata_end else _TOKEN_AFTER_CDATA).search(page, at, tags_end) if at < tags_end else None
+        if m is None:  # no tag ends here any more; a comment may begin
+            k = page.find("<!--", at)
+            text(page[at:] if k < 0 else page[at:k])
             break
         text(page[at : m.start()])
         at = m.end()
+        if at == tags_end and m[0].startswith("<!--") and "-->" not in m[0][4:]:
+            break
         if m["tag"] is None:
             if m[0].startswith("<![CDATA["):
                 pieces.append(m[0][9:-3])
             continue
         tag = m["tag"].lower()
         if m["close"]:
-            if tag == "br" or tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "br" or tag == "p" and not places["p"]:
                 pieces.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in _BLOCK or any(n.tag in _BLOCK or n.bad for n in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    settle()
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
-                    break  # an inline end tag closes nothing outside its block
+            k = places[tag][-1] if places[tag] else 0
+            if k and (tag in _BLOCK or open_blocks[-1] < k):  # an inline end tag closes nothing outside its block
+                if tag in _BLOCK or any(n is not None and n.bad for n in stack[k:]):
+                    flush()
+                closed(k)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -172,20 +199,19 @@ def _parsed(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         if tag in _BLOCK or tag == "head":
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if tag in _CLOSED_BY.get(stack[k].tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE and stack[k].tag not in _CLOSED_BY:
-                    break
-        if tag == "a":  # links do not nest
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "a":
-                    del stack[k]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
-        if tag == "body" and any(n.tag == "body" for n in stack) or tag == "html" and len(stack) > 1:
+            k = max((places[t][-1] for t in _CLOSES.get(tag, ()) if places[t]), default=0)
+            if k > open_scopes[-1]:
+                closed(k)
+        if tag == "a" and places["a"] and places["a"][-1] > open_blocks[-1]:  # links do not nest
+            k = places["a"][-1]
+            if stack[k].bad:
+                flush()
+            if k == len(stack) - 1:
+                closed(k)
+            else:  # what stands inside the link stays open, and is its own owner if the link is left out
+                places["a"].pop()
+                stack[k] = None
+        if tag == "body" and places["body"] or tag == "html" and len(stack) > 1:
             continue
         bad, weight, semantic = _judged(tag, m["attrs"], stack[-1])
         node = Node(tag, stack[-1], len(nodes), bad or stack[-1].bad, weight, semantic)
@@ -197,24 +223,30 @@ def _parsed(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             flush()
         if not m["attrs"].endswith("/") or tag in _BLOCK or tag == "a":
             nodes.append(node)
-            stack.append(node)
-            settle()
+            opened(node)
     flush()
     return nodes, blocks
 
 
+def _score(nodes: list[Node], kept: list[tuple[Node, str, int]]) -> None:
+    """Give each element the points of the blocks in and below it."""
+    for owner, text, linked in kept:
+        points = (1 + len(_COMMA.findall(text)) + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
+        home = owner if owner.parent is None or owner.tag not in _PARAGRAPHS else owner.parent
+        home.score += points
+    for node in reversed(nodes):  # children stand behind their parents
+        if node.parent is not None:
+            node.parent.passed += node.score / 2 + node.passed / 3
+        node.score += node.passed
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by one space."""
     nodes, blocks = _parsed(page or "")
     kept = [b for b in blocks if not b[0].bad]
     if not kept:
         return ""
-    for owner, text, linked in kept:
-        points = (1 + len(_COMMA.findall(text)) + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
-        level, node = 0, owner if owner.parent is None or owner.tag not in {"p"} | _HEADINGS else owner.parent
-        while node is not None:
-            node.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-            node, level = node.parent, level + 1
+    _score(nodes, kept)
     ranked = [n for n in nodes if n.score > 0 and not n.bad] or [kept[0][0]]
     best = max(ranked, key=lambda n: (n.score + n.weight, -n.order))
     node = best
@@ -226,20 +258,15 @@ def main_text(page: str | None) -> str:
     if best.parent is not None and not best.semantic:
         least = max(3.0, 0.2 * best.score)
         for n in nodes:
-            if n.parent is best.parent and not n.bad and (n.score >= least or n.tag in _HEADINGS | {"p"}):
+            if n.parent is best.parent and not n.bad and (n.score >= least or n.tag in _PARAGRAPHS):
                 chosen.add(id(n))
         if best.parent.score >= 0.2 * best.score:
             for owner, text, linked in kept:
                 if owner is best.parent and linked * 2 < len(text):
                     chosen.add(id(text))
-    out = []
-    for owner, text, _ in kept:
-        node = owner
-        while node is not None and id(node) not in chosen:
-            node = node.parent
-        if node is not None or id(text) in chosen:
-            out.append(text)
-    return " ".join(out)
+    for node in nodes:
+        node.held = id(node) in chosen or node.parent is not None and node.parent.held
+    return " ".join(text for owner, text, _ in kept if owner.held or id(text) in chosen)
 
 
 def with_main_text(pages: DataFrame, *, source: str = "html", name: str = "text") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +39,53 @@ def test_frame(spark):
         if r.page_id is not None:
             assert r.text == PAGES[r.page_id][1] and r.n_chars == len(r.text)
     assert P.extract(frame.limit(0)).count() == 0
+
+
+def plainly_scored(page):
+    """Each element's points by walking from each block to the page, as the docstring says them."""
+    nodes, blocks = P._parsed(page)
+    points = {id(n): 0.0 for n in nodes}
+    for owner, text, linked in blocks:
+        if not owner.bad:
+            own = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
+            node = owner.parent if owner.tag in ("p", "h1", "h2") and owner.parent is not None else owner
+            share = 1.0
+            while node is not None:
+                points[id(node)] += own * share
+                share = share / 2 if share == 1.0 else share / 3
+                node = node.parent
+    return nodes, points
+
+
+def test_points_equal_a_walk_from_each_block():
+    rng = random.Random(3)
+    parts = ["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<i>", "<h1>", "</h1>", "<ul>", "<li>", "<nav>", "</nav>", "one, two, three ", "words " * 40]
+    for _ in range(300):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(5, 60)))
+        nodes, points = plainly_scored(page)
+        again, blocks = P._parsed(page)
+        P._score(again, [b for b in blocks if not b[0].bad])
+        assert [n.score for n in again] == pytest.approx([points[id(n)] for n in nodes])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><p>some text, more</p>" * 32000,
+        "<a href='x'>y</a> <i>z" * 32000,
+        "<i>" * 32000 + "<h1>x</h1>" * 32000,
+        "<a" * 100000,
+        "<!x" * 100000,
+        "<![CDATA[" * 100000 + ">",
+        "<a><i>x" * 32000,
+        "<p>" + "<!--" * 100000,
+    ],
+)
+def test_deep_and_unclosed_pages_take_time_by_their_length(page):
+    start = time.process_time()
+    P.main_text(page)
+    assert time.process_time() - start < 10  # with work by the square it took minutes
+
+
+def test_a_link_that_is_left_out_keeps_its_text_when_the_next_begins():
+    assert P.main_text("<article><p>text <a class=ad>buy <a class=ad>now</a> more</p></article>") == "text more"
