@@ -4,47 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.scalar import hemisphere_zone
 from paneltide.spec import WEATHER, PanelSpec
 
 
+def _identity(field: T.StructField) -> Column:
+    """A text that two values of the column share exactly if they are equal."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.TimestampType):
+        c = F.unix_micros(c)  # local times can be the same for two instants
+    elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # zeros of both signs are one value
+    elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
+        c = F.to_json(c)
+    return c.cast("string")
+
+
 def profile_schema(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: type, distinct values, percent null and the smallest value as example."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """Per column: type, distinct values, percent null and the smallest value as example.
+
+    Distinct values are exact: each row gives one (column, value) pair for each known value, and equal
+    pairs are combined before the shuffle. A pair is narrow whatever the number of columns, where one
+    aggregate with several distinct counts copies the key columns of all of them for each column.
+    ``approximate`` keeps a sketch for each column instead and reads the rows once. A table
+    without rows has 0 distinct values, 0 percent null and no example.
+    """
+    fields = df.schema.fields
+    own = {f.name: F.col(f"`{f.name}`") for f in fields}
     totals = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[
-            F.struct(
-                distinct(F.col(c)).alias("n_unique"),
-                F.count(c).alias("n_known"),
-                F.min(c).cast("string").alias("example"),
-            ).alias(c)
-            for c in df.columns
-        ],
-    )
-    kinds = dict(df.dtypes)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(kinds[c]).alias("dtype"),
-                F.col(c)["n_unique"].alias("n_unique"),
-                F.when(
-                    F.col("_rows") > 0,
-                    F.round((F.col("_rows") - F.col(c)["n_known"]) / F.col("_rows") * 100, 4),
+        F.count(F.lit(1)).alias("rows"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(f.name).alias("column"),
+                    F.lit(f.dataType.simpleString()).alias("dtype"),
+                    F.count(own[f.name]).alias("known"),
+                    F.min(own[f.name]).cast("string").alias("example"),
+                    (F.approx_count_distinct(own[f.name]) if approximate else F.lit(None).cast("long")).alias("sketched"),
                 )
-                .otherwise(F.lit(0.0))
-                .alias("pct_null"),
-                F.col(c)["example"].alias("example"),
-            )
-            for c in df.columns
-        ]
+                for f in fields
+            ]
+        ).alias("cells"),
+    ).select("rows", F.inline("cells"))
+    if approximate:
+        counted = totals.withColumn("n_unique", F.col("sketched"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), _identity(f).alias("value")) for f in fields])
+        distinct = (
+            df.select(F.inline(pairs))
+            .where(F.col("value").isNotNull())
+            .distinct()
+            .groupBy("column")
+            .agg(F.count(F.lit(1)).alias("n_unique"))
+        )
+        counted = totals.join(distinct, "column", "left")
+    missing = F.coalesce((F.col("rows") - F.col("known")) / F.nullif(F.col("rows"), F.lit(0)) * 100, F.lit(0.0))
+    return counted.select(
+        "column",
+        "dtype",
+        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+        F.round(missing, 4).alias("pct_null"),
+        "example",
     )
-    return totals.select(F.inline(cells))
 
 
 def grain_report(df: DataFrame, spec: PanelSpec = WEATHER) -> DataFrame:

@@ -7,7 +7,12 @@ from paneltide.plans.bindings import PANEL, panel
 from paneltide.plans.catalog.base import gated, query, sql
 from paneltide.spec import CONCENTRATIONS, INDICES, METRICS
 
-_PROFILED = ["country", "location_name", "temperature_celsius", "humidity", "condition_text"]
+_KINDS = (
+    dict.fromkeys(("country", "location_name", "region_name", "condition_text"), "string")
+    | {"last_updated": "timestamp_ntz", "l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint"}
+    | dict.fromkeys(("latitude", "longitude", *METRICS, *CONCENTRATIONS), "double")
+    | dict.fromkeys(INDICES, "smallint")
+)
 
 
 @query(
@@ -15,18 +20,17 @@ _PROFILED = ["country", "location_name", "temperature_celsius", "humidity", "con
     sql(
         "p as ("
         + " union all ".join(
-            f"""select '{c}' as column_name, '{'string' if c in ('country', 'location_name', 'condition_text') else 'double'}' as dtype,
-  count(distinct {c}) as n_unique, round((count(*) - count({c})) * 100.0 / count(*), 4) as pct_null from panel"""
-            for c in _PROFILED
+            f"""select '{c}' as column_name, '{kind}' as dtype, count(distinct {c}) as n_unique,
+  round((count(*) - count({c})) * 100.0 / count(*), 4) as pct_null, cast(min({c}) as varchar) as example from panel"""
+            for c, kind in _KINDS.items()
         )
         + ")",
-        "column_name:s dtype:s n_unique:i pct_null:f",
+        "column_name:s dtype:s n_unique:i pct_null:f example:s",
         "p",
     ),
 )
 def profile_schema(spark, sf):
-    out = profiling.profile_schema(panel(spark, sf).select(*_PROFILED))
-    return out.withColumnRenamed("column", "column_name").drop("example")
+    return profiling.profile_schema(panel(spark, sf)).withColumnRenamed("column", "column_name")
 
 
 @query(
