@@ -47,3 +47,13 @@ def attach_written(
     if stats.limit(few + 1).count() > few:
         return attach(rows, stats, on, spread, how)
     return rows.join(F.broadcast(stats), list(on), how)
+
+
+def join_null_safe(rows: DataFrame, stats: DataFrame, on: Sequence[str], *, few: bool = False) -> DataFrame:
+    """Left join by ``on`` in which a null key is a key like any other; ``few``: ``stats`` was counted
+    and may be sent to every task."""
+    named = stats.withColumnsRenamed({k: f"_of_{k}" for k in on})
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(F.broadcast(named) if few else named, same, "left").drop(*[f"_of_{k}" for k in on])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
-from paneltide.functions.positions import BLOCK_ROWS, in_time, positions_by_day, with_blocks
+from paneltide.functions.joins import join_null_safe
+from paneltide.functions.positions import BLOCK_ROWS, in_time, positions_by_range, with_blocks
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.skew import GROUP_LIMIT, by_group_size
 from paneltide.session import materialized
@@ -95,7 +96,7 @@ def _neighbours_in_blocks(
 ) -> DataFrame:
     """Same columns for series of any length: what lies outside a row's block is
     carried in from per-block first and last known readings."""
-    blocks = with_blocks(positions_by_day(df, spec).drop("_len"), block_rows)
+    blocks = with_blocks(positions_by_range(df, spec).drop("_len"), block_rows)
     block = [*spec.keys, "_block"]
 
     def known(c: str) -> Column:
@@ -117,7 +118,7 @@ def _neighbours_in_blocks(
     upto = inside.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     onward = inside.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     near = {k: e for c in columns for k, e in _near(c, upto, onward).items()}
-    joined = blocks.withColumns(near).join(carried, block, "left")
+    joined = join_null_safe(blocks.withColumns(near), carried, block)
     sides = [("p", "in"), ("q", "out")]
     return joined.withColumns(
         {

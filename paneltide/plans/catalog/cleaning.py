@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import cleaning as op
 from paneltide.plans.bindings import PANEL, panel
-from paneltide.plans.catalog.base import gated, query, sql
+from paneltide.plans.catalog.base import ORACLES, gated, query, sql
 from paneltide.sources import raw
 from paneltide.spec import BOUNDS, CONCENTRATIONS, INDICES, METRICS
 
@@ -142,6 +142,13 @@ def impute_missing(spark, sf):
     return _wide_indices(filled).select(*_names(_IMPUTED_OUT))
 
 
+@query("impute_missing_in_blocks", ORACLES["impute_missing"])
+def impute_missing_in_blocks(spark, sf):
+    """The way of series too long for a task, taken by all of them, in blocks short enough for several a series."""
+    filled = op.impute_missing(gated(spark, sf), PANEL, limit=0, block_rows=128)
+    return _wide_indices(filled).select(*_names(_IMPUTED_OUT))
+
+
 def _flag_ctes(source):
     return f"""med as (select country, location_name, month(last_updated) as m,
   {", ".join(f"median({c}) as {c}" for c in METRICS)} from {source} group by all),

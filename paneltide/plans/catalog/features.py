@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import features as op
 from paneltide.operators import profiling, regions
 from paneltide.plans.bindings import PANEL, country_regions, table
-from paneltide.plans.catalog.base import gated, query, sql
+from paneltide.plans.catalog.base import ORACLES, gated, query, sql
 from paneltide.spec import LAGGED_EXOGENOUS, LAGS, WINDOWS
 
 _ID = "country:s location_name:s last_updated:t"
@@ -102,6 +102,13 @@ def build_features(spark, sf):
     return op.build_features(gated(spark, sf), PANEL).select(*_names(_ALL_OUT))
 
 
+@query("build_features_in_blocks", ORACLES["build_features"])
+def build_features_in_blocks(spark, sf):
+    """The way of series too long for a task, taken by all of them, in blocks short enough for several a series."""
+    made = op.build_features(gated(spark, sf), PANEL, limit=0, block_rows=128)
+    return made.select(*_names(_ALL_OUT))
+
+
 ZONE_SQL = """case when abs(latitude) <= 23.5 then 'Tropical' when abs(latitude) <= 35 then 'Subtropical'
   when abs(latitude) <= 55 then 'Temperate' when latitude is not null then 'Polar' else 'Unknown' end"""
 

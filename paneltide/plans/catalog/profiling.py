@@ -4,7 +4,7 @@ from paneltide.functions.positions import with_positions
 from paneltide.functions.quantiles import ranks_of_counts, value_counts
 from paneltide.operators import correlation, profiling
 from paneltide.plans.bindings import PANEL, panel
-from paneltide.plans.catalog.base import gated, query, sql
+from paneltide.plans.catalog.base import ORACLES, gated, query, sql
 from paneltide.spec import CONCENTRATIONS, INDICES, METRICS
 
 _KINDS = (
@@ -120,6 +120,15 @@ def series_positions(spark, sf):
     )
 
 
+@query("series_positions_by_range", ORACLES["series_positions"])
+def series_positions_by_range(spark, sf):
+    """The way of series too long for a task, taken by all of them."""
+    placed = with_positions(gated(spark, sf), PANEL, limit=0)
+    return placed.select(
+        *PANEL.grain, placed["_pos"].alias("pos"), placed["_len"].alias("len")
+    )
+
+
 @query(
     "average_ranks",
     sql(

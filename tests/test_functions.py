@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.skew import by_group_size
 from paneltide.functions.joins import attach
-from paneltide.functions.positions import with_positions
+from paneltide.functions.positions import numbered_ranges, with_positions
 from paneltide.functions.quantiles import FINE, order_bucket, quantiles, ranks_of_counts, value_counts
 from paneltide.functions.scalar import air_quality_label, band, climate_zone, hemisphere_zone, season
 from paneltide.spec import PanelSpec
@@ -152,3 +152,37 @@ def test_written_statistics_attach_alike_on_both_ways(spark):
     for how in ("left", "inner"):
         sent, salted = (attach_written(rows, stats, ["k"], ["v"], how, few) for few in (10, 2))
         assert sorted(map(str, sent.collect())) == sorted(map(str, salted.collect()))
+
+
+def hot_rows():
+    """A day with most rows of a hot series, a series mostly without times, a null key, and small ones."""
+    rows = [("hot", f"2024-01-05 {i % 24:02d}:00:00", i) for i in range(3000)]
+    rows += [("hot", f"2024-01-0{1 + i % 4} 00:00:00", 9000 + i) for i in range(40)]
+    rows += [("untimed", None if i % 10 else f"2024-02-{1 + i // 100:02d} 00:00:00", i) for i in range(2000)]
+    rows += [(None, f"2024-03-{1 + i % 28:02d} 00:00:00", i) for i in range(500)]
+    return rows + [(f"s{i % 7}", "2024-01-01 00:00:00", i) for i in range(50)]
+
+
+@pytest.mark.parametrize("total", [True, False])
+def test_positions_of_hot_days_missing_times_and_null_keys(spark, total):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "k string, t string, o int").withColumn("t", F.to_timestamp("t")).repartition(5)
+    spec = PanelSpec(keys=("k",), time="t", order=("o",), total=total)
+    want, seen = {}, {}
+    for k, t, o in sorted(rows, key=lambda r: (str(r[0]), r[1] is None, r[1] or "", r[2])):
+        want[k, o] = seen[k] = seen.get(k, -1) + 1
+    got = with_positions(df, spec, limit=0).collect()
+    assert {(r.k, r.o): r["_pos"] for r in got} == want and len(got) == len(rows)
+    assert all(r["_len"] == seen[r.k] + 1 for r in got)
+
+
+def test_a_hot_day_and_rows_without_time_are_spread_over_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = hot_rows()
+    spark.conf.set(key, "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, t string, o int").withColumn("t", F.to_timestamp("t"))
+        parts = numbered_ranges(df, PanelSpec(keys=("k",), time="t")).groupBy(F.shiftright("_at", 33).alias("p")).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(parts) == 4 and max(r["count"] for r in parts) < len(rows) * 0.4
