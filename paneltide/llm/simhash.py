@@ -163,15 +163,25 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     Where several rows of a class share that id (or have none), the smallest row by all
     its columns stays.
     """
-    _, classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    fp, root, low = (free_name(docs, n) for n in ("_fp", "_root", "_low"))
-    named = with_fingerprints(docs, text, fp, options.get("shingle", SHINGLE))
-    classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
-    first = materialized(named.join(classes, fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(low))))
-    repeated = materialized(first.groupBy(root).agg(F.count("*").alias("_rows")).where("_rows > 1").select(root))
+    rows, classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    lowest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    key, fp, root, low = (free_name(docs, n) for n in ("_key", "_fp", "_root", "_low"))
+    ids = materialized(
+        rows.join(classes, "fp")
+        .groupBy(F.col("doc_id").alias(key))
+        .agg(F.count("*").alias("n"), F.count_if(lowest).alias("smallest"))
+        .where("smallest > 0")
+    )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if repeated.isEmpty():
-        return first.select(*columns)
-    alone = first.join(repeated, root, "left_anti").select(*columns)
-    chosen = first.join(repeated, root, "left_semi").groupBy(root).agg(F.min(F.struct(*columns)).alias("_row"))
-    return alone.union(chosen.select("_row.*"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key))
+    # Texts meet a list of ids, which no group of copies makes uneven, and are not fingerprinted again.
+    once = docs.join(ids.where("n = 1").select(key), same, "left_semi")
+    if ids.where("n > 1").isEmpty():
+        return once
+    # Rows that share an id may lie in different classes: only their fingerprints tell.
+    shared = docs.join(ids.where("n > 1").select(key), same, "left_semi")
+    named = with_fingerprints(shared, text, fp, options.get("shingle", SHINGLE))
+    classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
+    first = named.join(classes, fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(low)))
+    chosen = first.groupBy(root).agg(F.min(F.struct(*columns)).alias("_row"))
+    return once.union(chosen.select("_row.*"))

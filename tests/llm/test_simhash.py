@@ -101,6 +101,12 @@ def test_ids_that_are_all_null_keep_one_row(make):
     assert M.keep_one(make([(None, "a b c"), (None, "a b c"), (None, "q r s t u v")])).count() == 2
 
 
+def test_an_id_in_two_classes_keeps_only_its_own(make):
+    one, two = "a b c d e f g", "q r s t u v w x"
+    kept = M.keep_one(make([(3, one), (5, one), (5, two), (5, two), (8, two), (9, "k l m n o")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, one), (5, two), (9, "k l m n o")]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(0, 60).selectExpr("id as a", "id + 1 as b")
     got = components(edges.union(spark.createDataFrame([(200, 100), (100, 150), (7, 7)], "a long, b long"))).collect()
