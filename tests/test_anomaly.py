@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneltide.operators import anomaly as op
-from paneltide.operators import correlation, panel_model, seasonal
+from paneltide.operators import correlation, isolation, panel_model, seasonal
 from paneltide.operators.air_quality import binned_median
 from paneltide.operators.neighbours import local_outlier_factor
 from paneltide.sources.sinks import write_anomalies
@@ -61,6 +61,27 @@ def test_isolation_does_not_depend_on_partitions(planted):
     assert np.allclose(*scores)
 
 
+def test_samples_are_whole_where_keys_repeat(spark):
+    df = spark.range(3000).selectExpr("'A' as k", "array(double(id)) as x")
+    rows = isolation.tree_samples(df, "x", ["k"], 3000, trees=4, sample=16, seed=1).collect()
+    assert len(rows) == 64 and len({r._r for r in rows}) == 64
+    assert {t: sum(r.tree == t for r in rows) for t in range(4)} == dict.fromkeys(range(4), 16)
+
+
+def test_depths_follow_each_tree():
+    x = np.round(np.random.default_rng(4).normal(size=(64, 3)), 1)
+    nodes = isolation.grow(42, 64)(pd.DataFrame({"tree": 7, "x": list(x), "_r": range(64)}))
+    by = nodes.set_index("node")
+
+    def walk(row):
+        at = 1
+        while by.feature[at] >= 0:
+            at = 2 * at + int(row[by.feature[at]] >= by.cut[at])
+        return by.depth[at] / isolation.UNIT
+
+    assert np.allclose(isolation.depths(x, isolation.table(nodes)), [walk(row) for row in x])
+
+
 def brute_factors(x, k):
     """The paper's definition over all rows; a tie with the k-th neighbour is a neighbour."""
     n = len(x)
