@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import anomaly as op
 from paneltide.operators import correlation, isolation, panel_model, seasonal
 from paneltide.operators.air_quality import binned_median
-from paneltide.operators.neighbours import local_outlier_factor
+from paneltide.operators.neighbours import in_parts, local_outlier_factor
 from paneltide.sources.sinks import write_anomalies
 from paneltide.spec import PanelSpec
 
@@ -186,3 +186,12 @@ def test_importances(spark):
         panel_model.compare_importances(lenses), "native", "permutation"
     )
     assert not flagged.first()["demoted"]
+
+
+def test_thousands_of_oversized_cells_are_split(spark):
+    # one nested condition for each such cell overflowed the stack of the planner
+    cells = np.arange(4096)
+    celled = spark.range(4096 * 10).selectExpr("id", "id % 4096 as cell")
+    placed = in_parts(celled, cells, np.where(cells == 7, 4, 10), block=2)
+    parts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count_distinct("part").alias("n")).collect()}
+    assert placed.count() == 4096 * 10 and parts[7] == 1 and max(parts.values()) <= 5 and len(parts) == 4096
