@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.joins import attach
@@ -23,47 +26,137 @@ WEATHER_DRIVERS = (
     "uv_index",
 )
 MIN_PAIRS = 30
+#: Ranks that are sent to every task at most, as numbers of 8 bytes.
+LOOKUP = 1 << 20
 
 Pairs = Sequence[tuple[str, str]]
 
 
 def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """``(x, y, n, pearson)`` for every pair, in one pass over the table."""
-
-    def cell(a: str, b: str) -> Column:
-        x, y = _number(a), _number(b)
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.struct(
-            F.lit(a).alias("x"),
-            F.lit(b).alias("y"),
-            F.count(F.when(y.isNotNull(), x)).alias("n"),
-            F.when(spread > 0, F.covar_pop(x, y) / spread).alias("pearson"),
-        )
+    """``(x, y, n, pearson)`` for every pair, in one pass over the table.
+
+    Tasks add up the moments of all pairs by matrix products over batches and hand on one row for each
+    pair. Means are taken off before anything is squared; a constant side is told by its extremes.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(names)}
+    left, right = [at[x] for x, _ in pairs], [at[y] for _, y in pairs]
+    session = df.sparkSession
+    if not names:
+        return session.createDataFrame([], "x string, y string, n bigint, pearson double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = _moments(_matrix(batch))
+                total = part if total is None else _merged(total, part)
+        if total is not None:
+            there = {k: total[k][left, right] for k in ("n", "bad", "both", "mean", "square", "low", "high")}
+            back = {f"{k}_y": total[k][right, left] for k in ("mean", "square", "low", "high")}
+            cells = {"pair": np.arange(len(pairs)), **there, **back}
+            yield pa.RecordBatch.from_pydict(cells)
+
+    doubles = ("both", "mean", "square", "low", "high", "mean_y", "square_y", "low_y", "high_y")
+    kinds = "pair long, n long, bad long, " + ", ".join(f"{c} double" for c in doubles)
+    parts = df.select(*[_number(c).alias(c) for c in names]).mapInArrow(run, kinds).where("n > 0")
+    # one row for each task and pair
+    task = Window.partitionBy("pair")
+    off = {c: F.col(c) - F.sum(F.col("n") * F.col(c)).over(task) / F.sum("n").over(task) for c in ("mean", "mean_y")}
+    n, x, y = F.col("n"), F.col("_off_mean"), F.col("_off_mean_y")
+    merged = parts.withColumns({f"_off_{c}": e for c, e in off.items()}).groupBy("pair").agg(
+        F.sum("n").alias("n"),
+        F.sum("bad").alias("_bad"),
+        F.sum(F.col("both") + n * x * y).alias("_xy"),
+        F.sum(F.col("square") + n * x * x).alias("_xx"),
+        F.sum(F.col("square_y") + n * y * y).alias("_yy"),
+        ((F.min("low") < F.max("high")) & (F.min("low_y") < F.max("high_y"))).alias("_spread"),
+    )
+    scale = F.sqrt("_xx") * F.sqrt("_yy")
+    value = F.when(F.col("_bad") > 0, F.lit(float("nan"))).when(F.col("_spread") & (scale > 0), F.col("_xy") / scale)
+    return _every(session, pairs).join(F.broadcast(merged), "pair", "left").select(
+        "x", "y", F.coalesce("n", F.lit(0).cast("long")).alias("n"), value.alias("pearson")
+    )
+
+
+def _every(session: SparkSession, pairs: Pairs) -> DataFrame:
+    return session.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "pair long, x string, y string")
+
 
-    cells = [cell(a, b) for a, b in pairs]
-    one_row = df.agg(F.array(*cells).alias("_cells"))
-    return one_row.select(F.inline("_cells"))
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows by columns; nulls are NaN."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
 
 
-def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
+def _moments(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Of column i among the rows that have column j too, at [i, j]: rows, mean, squares about it, extremes; ``both``: products."""
+    known, endless = ~np.isnan(values), np.isinf(values)
+    usable = known & ~endless
+    shift = np.where(usable, values, 0.0).sum(axis=0) / np.maximum(usable.sum(axis=0), 1)
+    x, m = np.where(usable, values - shift, 0.0), known.astype(float)
+    n, total = m.T @ m, x.T @ m
+    per = np.maximum(n, 1.0)
+    low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+    for j in range(values.shape[1]):
+        some = values[known[:, j]]
+        if len(some):
+            low[:, j], high[:, j] = np.fmin.reduce(some), np.fmax.reduce(some)
+    bad = endless.T.astype(float) @ m
+    return {
+        "n": n.astype(np.int64),
+        "bad": (bad + bad.T).astype(np.int64),
+        "mean": total / per + shift[:, None],
+        "square": np.maximum((x * x).T @ m - total * total / per, 0.0),
+        "both": x.T @ x - total * total.T / per,
+        "low": low,
+        "high": high,
+    }
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n = a["n"] + b["n"]
+    per = np.maximum(n, 1)
+    weight = a["n"] * (b["n"] / per)
+    off = np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+    mean = (a["mean"] * a["n"] + b["mean"] * b["n"]) / per
+    return {
+        "n": n,
+        "bad": a["bad"] + b["bad"],
+        "mean": mean,
+        "square": a["square"] + b["square"] + off * off * weight,
+        "both": a["both"] + b["both"] + off * off.T * weight,
+        "low": np.fmin(a["low"], b["low"]),
+        "high": np.fmax(a["high"], b["high"]),
+    }
+
+
+def spearman(df: DataFrame, pairs: Pairs, lookup: int = LOOKUP) -> DataFrame:
     """``(x, y, n, spearman)``: correlation of average ranks over each pair's complete rows.
 
     Each column has one histogram: per distinct value, how many of its rows have each
-    other column too. Cumulated, it gives a value's rank against every partner at once,
-    so what is shuffled grows with rows x columns, never with rows x pairs.
+    other column too. Cumulated, it gives a value's rank against every partner at once.
+    The ranks of columns of few values, at most ``lookup`` ranks in all, are sent to every task. Rows
+    are shuffled for columns of many values only: once for each of them, with two or four bytes for
+    each other column, to meet columns of few values, and with their ranks to meet each other.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
-    at = {c: i for i, c in enumerate(names)}
     if not names:
         return df.sparkSession.createDataFrame([], "x string, y string, n bigint, spearman double")
-    # A written row number stays the same when a task runs again.
-    wide = materialized(
-        df.select(
-            F.monotonically_increasing_id().alias("_row"),
-            F.array(*[_number(c) for c in names]).alias("_v"),
-        )
-    )
-    cells = wide.select("_row", "_v", F.posexplode("_v").alias("c", "v")).where(F.col("v").isNotNull())
+    return _spearman(_wide(df, names), pairs, lookup)
+
+
+def _wide(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns as numbers and a row number, which stays the same when a task runs again, since it is written."""
+    return materialized(df.select(F.monotonically_increasing_id().alias("_row"), *[_number(c).alias(c) for c in names]))
+
+
+def _spearman(wide: DataFrame, pairs: Pairs, lookup: int = LOOKUP) -> DataFrame:
+    session = wide.sparkSession
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(names)}
+    asked = list(dict.fromkeys((at[x], at[y]) for x, y in pairs))
+    held = wide.select("_row", F.array(*names).alias("_v"))
+    cells = held.select("_row", "_v", F.posexplode("_v").alias("c", "v")).where(F.col("v").isNotNull())
     ranks = materialized(_partner_ranks(cells, len(names)))
     own = ranks.groupBy("c").agg(
         *[F.sum(F.get("n", F.lit(j))).alias(f"n{j}") for j in range(len(names))],
@@ -78,34 +171,140 @@ def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
             F.array(*[F.struct(F.col(f"n{j}").alias("n"), F.col(f"s{j}").alias("s")) for j in range(len(names))])
         ).alias("other", "_cell"),
     ).select("c", "other", "_cell.*")
-    slim = cells.select("_row", "c", "v")
-    placed = attach(slim, ranks.select("c", "v", "r"), ["c", "v"], spread=["_row"], how="inner")
-    rows = placed.groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("_r")
-    )
-    sums = rows.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(x).alias("x"),
-                    F.lit(y).alias("y"),
-                    F.lit(at[x]).alias("c"),
-                    F.lit(at[y]).alias("other"),
-                    F.sum(_rank(at[x], at[y]) * _rank(at[y], at[x])).alias("_ab"),
-                )
-                for x, y in pairs
-            ]
-        ).alias("_cells")
-    ).select(F.inline("_cells"))
+    few = _few_values(ranks, len(names), lookup)
+    many = [i for i in range(len(names)) if i not in few]
+    parts = [_sums_of_few(wide, names, ranks, few, asked)]
+    if many:
+        parts.append(_sums_of_one(wide, names, ranks, few, many, asked))
+        parts.append(_sums_of_many(cells, ranks, many, [p for p in asked if p[0] in many and p[1] in many]))
+    sums = reduce(DataFrame.unionByName, [p for p in parts if p is not None]).groupBy("c", "other").agg(F.sum("_ab").alias("_ab"))
     there = spread.withColumnRenamed("s", "_aa")
     back = spread.select(F.col("other").alias("c"), F.col("c").alias("other"), F.col("s").alias("_bb"))
-    both = sums.join(there, ["c", "other"]).join(back, ["c", "other"])
+    shown = session.createDataFrame([(x, y, at[x], at[y]) for x, y in pairs], "x string, y string, c int, other int")
+    both = shown.join(sums, ["c", "other"], "left").join(there, ["c", "other"]).join(back, ["c", "other"])
     scale = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
     return both.where(F.col("n") > 0).select(
-        "x", "y", "n", F.when(scale > 0, F.col("_ab") / scale).alias("spearman")
+        "x", "y", "n", F.when(scale > 0, F.coalesce("_ab", F.lit(0.0)) / scale).alias("spearman")
     )
 
 
+_SUMS = "c int, other int, _ab double"
+
+
+def _few_values(ranks: DataFrame, width: int, lookup: int) -> set[int]:
+    """The columns of fewest values whose ranks against all columns are at most ``lookup`` numbers."""
+    few, left = set(), lookup
+    for c, n in sorted(((r["c"], r["count"]) for r in ranks.groupBy("c").count().collect()), key=lambda r: r[1]):
+        left -= n * width
+        if left < 0:
+            return few
+        few.add(c)
+    return few
+
+
+def _tables(ranks: DataFrame, few: set[int], width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Values in order and their ranks against each column, with a last row of zeros for nulls."""
+    rows = ranks.where(F.col("c").isin(sorted(few))).select("c", "v", "r").toPandas() if few else None
+    out = {}
+    for c in sorted(few):
+        mine = rows[rows["c"] == c].sort_values("v")
+        out[c] = (mine["v"].to_numpy(), np.vstack([*mine["r"].to_numpy(), np.zeros(width)]))
+    return out
+
+
+def _codes(values: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(column), len(values), np.searchsorted(values, column))
+
+
+def _sums_of_few(wide: DataFrame, names: Sequence[str], ranks: DataFrame, few: set[int], asked: list) -> DataFrame | None:
+    """Products of ranks, summed, for pairs of columns of few values; rows stay where they are."""
+    mine = [p for p in asked if p[0] in few and p[1] in few]
+    if not mine:
+        return None
+    need = sorted({c for p in mine for c in p})
+    tables = wide.sparkSession.sparkContext.broadcast(_tables(ranks, set(need), len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(mine))
+        for batch in batches:
+            column = dict(zip(need, _matrix(batch).T))
+            found = {c: tables.value[c][1][_codes(tables.value[c][0], column[c])] for c in need}
+            total += [found[a][:, b] @ found[b][:, a] for a, b in mine]
+        yield _summed(mine, total)
+
+    return wide.select(*[names[c] for c in need]).mapInArrow(run, _SUMS)
+
+
+def _summed(pairs: list, total: np.ndarray) -> pa.RecordBatch:
+    c, other = (pa.array([p[k] for p in pairs], pa.int32()) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([c, other, pa.array(total)], ["c", "other", "_ab"])
+
+
+def _sums_of_one(
+    wide: DataFrame, names: Sequence[str], ranks: DataFrame, few: set[int], many: list[int], asked: list
+) -> DataFrame | None:
+    """The same for pairs with one column of many values: its rows meet its ranks, the other column comes as a code."""
+    mine = [p for p in asked if (p[0] in few) != (p[1] in few)]
+    if not mine:
+        return None
+    need = sorted({c for p in mine for c in p if c in few})
+    long = sorted({c for p in mine for c in p if c not in few})
+    partners = {c: [(k, a, b) for k, (a, b) in enumerate(mine) if c in (a, b)] for c in long}
+    held = _tables(ranks, set(need), len(names))
+    tables = wide.sparkSession.sparkContext.broadcast(held)
+    kind = np.dtype(np.uint16 if max(len(t[0]) for t in held.values()) < 2**16 else np.uint32)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip([*need, *long], _matrix(batch.drop_columns(["_row"])).T))
+            codes = np.column_stack([_codes(tables.value[c][0], column[c]) for c in need]).astype(kind)
+            packed = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(kind.itemsize * len(need)), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]
+            ).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), packed, *[batch.column(names[c]) for c in long]], ["_row", "codes", *[f"v{c}" for c in long]]
+            )
+
+    kinds = "_row long, codes binary, " + ", ".join(f"v{c} double" for c in long)
+    coded = wide.select("_row", *[names[c] for c in (*need, *long)]).mapInArrow(code, kinds)
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"v{c}").alias("v")) for c in long])
+    rows = coded.select("_row", "codes", F.inline(each)).where(F.col("v").isNotNull())
+    met = attach(rows, ranks.where(F.col("c").isin(long)).select("c", "v", "r"), ["c", "v"], spread=["_row"], how="inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(mine))
+        place = {c: k for k, c in enumerate(need)}
+        for batch in batches:
+            which = batch.column("c").to_numpy()
+            rank = batch.column("r").flatten().to_numpy(zero_copy_only=False).reshape(len(which), len(names))
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind).reshape(len(which), len(need))
+            for c in long:
+                here = which == c
+                own, theirs = rank[here], codes[here]
+                for k, a, b in partners[c]:
+                    o = b if a == c else a
+                    total[k] += own[:, o] @ tables.value[o][1][theirs[:, place[o]], c]
+        yield _summed(mine, total)
+
+    return met.select("c", "r", "codes").mapInArrow(run, _SUMS)
+
+
+def _sums_of_many(cells: DataFrame, ranks: DataFrame, many: list[int], mine: list) -> DataFrame | None:
+    """The same for pairs of columns of many values: a row's ranks against such columns meet by its number."""
+    if not mine:
+        return None
+    place = {c: k for k, c in enumerate(many)}
+    slim = cells.where(F.col("c").isin(many)).select("_row", "c", "v")
+    short = F.array(*[F.get("r", F.lit(c)) for c in many]).alias("r")
+    placed = attach(slim, ranks.where(F.col("c").isin(many)).select("c", "v", short), ["c", "v"], spread=["_row"], how="inner")
+    rows = placed.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("c", "r"))).alias("_r"))
+    products = [
+        F.struct(F.lit(a).alias("c"), F.lit(b).alias("other"), F.sum(_rank(a, place[b]) * _rank(b, place[a])).alias("_ab"))
+        for a, b in mine
+    ]
+    return rows.agg(F.array(*products).alias("_cells")).select(F.inline("_cells"))
+
+
 def _number(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
@@ -152,7 +351,8 @@ def _partner_ranks(cells: DataFrame, width: int) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both correlations and their absolute difference for every unordered pair."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = pearson(df, pairs).join(spearman(df, pairs).drop("n"), ["x", "y"], "left")
+    wide = _wide(df, columns)
+    both = pearson(wide, pairs).join(_spearman(wide, pairs).drop("n"), ["x", "y"], "left") if pairs else pearson(df, pairs).withColumn("spearman", F.lit(None).cast("double"))
     return both.withColumn("abs_diff", F.abs(F.col("spearman") - F.col("pearson")))
 
 
@@ -179,9 +379,11 @@ def weather_pollutant_correlation(
 ) -> DataFrame:
     """``(weather, pollutant, corr, n)``; too few rows or a constant side give null."""
     pairs = [(w, p) for w in weather for p in pollutants if w in df.columns and p in df.columns]
-    known = pearson(df, pairs)
     if method == "spearman":
-        known = known.drop("pearson").join(spearman(df, pairs).drop("n"), ["x", "y"], "left")
+        ranked = spearman(df, pairs)
+        known = _every(df.sparkSession, pairs).join(ranked, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    else:
+        known = pearson(df, pairs)
     return known.select(
         F.col("x").alias("weather"),
         F.col("y").alias("pollutant"),

@@ -169,7 +169,7 @@ c as (select x, y, count(*) as n, corr(a, b) as pearson, corr(ra, rb) as spearma
     ),
 )
 def correlations(spark, sf):
-    return correlation.correlations(gated(spark, sf), _COLUMNS)
+    return correlation.correlations(gated(spark, sf, *_COLUMNS), _COLUMNS)
 
 
 _SQUARE = ", ".join(f"max(v) filter (y = '{c}') as {c}" for c in _COLUMNS)
@@ -186,7 +186,7 @@ r as (select x as variable, {_SQUARE} from f group by x)""",
     ),
 )
 def correlation_matrix(spark, sf):
-    return correlation.square(correlation.pearson(gated(spark, sf), _PAIRS), "pearson", _COLUMNS)
+    return correlation.square(correlation.pearson(gated(spark, sf, *_COLUMNS), _PAIRS), "pearson", _COLUMNS)
 
 
 _WEATHER = list(correlation.WEATHER_DRIVERS)
@@ -204,7 +204,7 @@ _CROSS = [(w, p) for w in _WEATHER for p in _POLLUTANTS]
     ),
 )
 def weather_pollutant_correlation(spark, sf):
-    return correlation.weather_pollutant_correlation(gated(spark, sf), _WEATHER, _POLLUTANTS)
+    return correlation.weather_pollutant_correlation(gated(spark, sf, *_WEATHER, *_POLLUTANTS), _WEATHER, _POLLUTANTS)
 
 
 _GRID = ", ".join(f"max(corr) filter (pollutant = '{p}') as {p}" for p in _POLLUTANTS)
@@ -222,6 +222,6 @@ r as (select weather, {_GRID} from l group by weather)""",
 )
 def correlation_grid(spark, sf):
     long = correlation.weather_pollutant_correlation(
-        gated(spark, sf), _WEATHER, _POLLUTANTS, method="pearson"
+        gated(spark, sf, *_WEATHER, *_POLLUTANTS), _WEATHER, _POLLUTANTS, method="pearson"
     )
     return correlation.correlation_grid(long, _POLLUTANTS)

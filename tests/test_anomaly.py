@@ -148,6 +148,40 @@ def test_spearman_uses_each_pairs_complete_rows(spark):
     assert got.loc[("a", "flat")].isna()["spearman"]
 
 
+@pytest.mark.parametrize("lookup", [0, 100, 1 << 20])
+def test_spearman_is_the_same_for_columns_of_few_and_many_values(spark, lookup):
+    rng = np.random.default_rng(8)
+    df = pd.DataFrame({"a": rng.normal(size=400), "b": rng.integers(0, 4, 400) * 1.0, "c": rng.integers(0, 3, 400) * 1.0})
+    df["d"] = df["a"] + rng.normal(size=400)
+    for c in "bd":
+        df.loc[rng.random(400) < 0.3, c] = None
+    pairs = [("a", "b"), ("c", "a"), ("a", "d"), ("b", "c"), ("d", "b")]
+    got = correlation.spearman(spark.createDataFrame(df).repartition(3), pairs, lookup).toPandas().set_index(["x", "y"])
+    assert len(got) == len(pairs)
+    for x, y in pairs:
+        both = df[[x, y]].dropna()
+        assert got.loc[(x, y), "n"] == len(both)
+        assert got.loc[(x, y), "spearman"] == pytest.approx(both.rank().corr().iloc[0, 1])
+
+
+def test_pearson_keeps_large_means_apart_from_constant_and_endless_sides(spark):
+    rng = np.random.default_rng(9)
+    df = pd.DataFrame({"a": 1e9 + rng.normal(size=200), "part": rng.normal(size=200), "end": rng.normal(size=200)})
+    df["b"] = df["a"] - 1e9 + rng.normal(size=200)
+    df["held"] = np.where(df["part"] > 0, 0.1, df["b"])
+    df.loc[df["part"] <= 0, "part"] = None
+    df.loc[3, "end"] = np.inf
+    df["none"] = np.nan
+    table = spark.createDataFrame(df).repartition(4)
+    pairs = [("a", "b"), ("held", "part"), ("a", "end"), ("b", "none"), ("part", "b")]
+    got = correlation.pearson(table, pairs).toPandas().set_index(["x", "y"])
+    for x, y in (("a", "b"), ("part", "b")):
+        assert got.loc[(x, y), "pearson"] == pytest.approx(df[[x, y]].dropna().corr().iloc[0, 1])
+    rows = {(r.x, r.y): r for r in correlation.pearson(table, pairs).collect()}
+    assert rows["held", "part"].pearson is None and rows["b", "none"].pearson is None and rows["b", "none"].n == 0
+    assert np.isnan(rows["a", "end"].pearson) and rows["a", "end"].n == 200
+
+
 def test_binned_median_merges_equal_cuts(spark):
     x = np.r_[np.zeros(60), np.arange(1.0, 41)]
     df = pd.DataFrame({"wind_kph": x, "air_quality_pm2_5": np.arange(100.0)})
