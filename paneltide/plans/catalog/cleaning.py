@@ -60,7 +60,7 @@ def structure_report(spark, sf):
 )
 def dedup_keep_last(spark, sf):
     twice = panel(spark, sf).unionByName(panel(spark, sf))
-    return op.dedup(twice, PANEL).select(
+    return op.dedup(twice, PANEL, [*METRICS, *PANEL.order]).select(
         *_KEYS, *METRICS, "l_orderkey", "l_linenumber", "l_partkey"
     )
 
