@@ -229,3 +229,24 @@ def test_thousands_of_oversized_cells_are_split(spark):
     placed = in_parts(celled, cells, np.where(cells == 7, 4, 10), block=2)
     parts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count_distinct("part").alias("n")).collect()}
     assert placed.count() == 4096 * 10 and parts[7] == 1 and max(parts.values()) <= 5 and len(parts) == 4096
+
+
+def test_series_decomposed_together_are_as_alone(spark):
+    rng = np.random.default_rng(4)
+    months = np.arange(60)
+    y = np.stack([np.sin(months / 12 * 2 * np.pi) + rng.normal(size=60), np.zeros(60), months + rng.standard_t(1, 60)])
+    together = seasonal.decompose_all(y)
+    for k in range(3):
+        for a, b in zip(seasonal.decompose(y[k]), together):
+            assert a == pytest.approx(b[k], abs=1e-9)
+    dates = pd.date_range("2020-01-01", periods=60, freq="MS")
+    df = pd.concat(
+        [pd.DataFrame({"k": k, "t": dates[:n], "y": y[0][:n]}) for k, n in (("a", 60), ("b", 30), ("c", 23))]
+    ).query("not (k == 'b' and t == @dates[4])")
+    spec = PanelSpec(keys=("k",), time="t", value="y")
+    got = seasonal.stl_residuals(spark.createDataFrame(df), spec).toPandas()
+    assert got.groupby("k").size().to_dict() == {"a": 60, "b": 30}
+    gap = y[0][:30].copy()
+    gap[4] = (gap[3] + gap[5]) / 2
+    have = got[got.k == "b"].sort_values("month")["trend"].to_numpy()
+    assert have == pytest.approx(seasonal.decompose(gap)[1])
