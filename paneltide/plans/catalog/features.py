@@ -73,7 +73,7 @@ _ROLLS_OUT = " ".join(f"{_Y}_roll{n}{w}:f" for w in WINDOWS for n, _ in _FNS)
 
 @query("rolling_features", sql(f"x as (select *, {_ROLLS} from gated)", f"{_ID} {_ROLLS_OUT}", "x"))
 def rolling_features(spark, sf):
-    return op.add_rollings(gated(spark, sf), PANEL).select(*_names(f"{_ID} {_ROLLS_OUT}"))
+    return op.add_rollings(gated(spark, sf, _Y, *PANEL.order), PANEL).select(*_names(f"{_ID} {_ROLLS_OUT}"))
 
 
 _EXOG = ", ".join(f"lag({c}, 1) over {_W}) as {c}_lag1" for c in LAGGED_EXOGENOUS)

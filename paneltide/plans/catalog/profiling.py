@@ -114,7 +114,7 @@ def dry_extremes(spark, sf):
     ),
 )
 def series_positions(spark, sf):
-    placed = with_positions(gated(spark, sf), PANEL)
+    placed = with_positions(gated(spark, sf, *PANEL.order), PANEL)
     return placed.select(
         *PANEL.grain, placed["_pos"].alias("pos"), placed["_len"].alias("len")
     )
@@ -123,7 +123,7 @@ def series_positions(spark, sf):
 @query("series_positions_by_range", ORACLES["series_positions"])
 def series_positions_by_range(spark, sf):
     """The way of series too long for a task, taken by all of them."""
-    placed = with_positions(gated(spark, sf), PANEL, limit=0)
+    placed = with_positions(gated(spark, sf, *PANEL.order), PANEL, limit=0)
     return placed.select(
         *PANEL.grain, placed["_pos"].alias("pos"), placed["_len"].alias("len")
     )

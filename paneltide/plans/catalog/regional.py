@@ -95,9 +95,12 @@ LATEST = """latest as (select * from gated qualify row_number() over (
 _LATEST_OUT = "country:s location_name:s last_updated:t latitude:f longitude:f temperature_celsius:f"
 
 
+_PLACED = [_Y, "latitude", "longitude", *PANEL.order]
+
+
 @query("latest_snapshot", sql(LATEST, _LATEST_OUT, "latest"))
 def latest_snapshot(spark, sf):
-    return spatial.latest_snapshot(gated(spark, sf), PANEL).select(
+    return spatial.latest_snapshot(gated(spark, sf, *_PLACED), PANEL).select(
         "country", "location_name", "last_updated", "latitude", "longitude", _Y
     )
 
@@ -128,7 +131,7 @@ _PEERS_OUT = "country:s location_name:s climate_zone:s zone_mean:f anomaly:f ano
 
 @query("peer_anomaly", sql(PEERS, _PEERS_OUT, "peers"))
 def peer_anomaly(spark, sf):
-    return spatial.peer_anomaly(gated(spark, sf), PANEL).select(
+    return spatial.peer_anomaly(gated(spark, sf, *_PLACED), PANEL).select(
         "country", "location_name", "climate_zone", "zone_mean", "anomaly", "anomaly_z"
     )
 
@@ -142,7 +145,7 @@ def peer_anomaly(spark, sf):
     ),
 )
 def anomaly_color_bound(spark, sf):
-    return spatial.anomaly_color_bound(spatial.peer_anomaly(gated(spark, sf), PANEL))
+    return spatial.anomaly_color_bound(spatial.peer_anomaly(gated(spark, sf, *_PLACED), PANEL))
 
 
 _LABEL = (

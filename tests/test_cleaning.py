@@ -115,9 +115,12 @@ def test_keep_last_sends_rows_unsorted_but_combines_a_heavy_key(spark):
     df = spark.range(3000).selectExpr("if(id < 2000, 0, if(id % 50 = 0, null, id % 700)) as k", "id as seq", "id * 2 as v")
     want = df.toPandas().sort_values("seq").groupby("k", dropna=False)["v"].last()
     for limit in (0, 100, 10**6):
-        last = op.last_rows(df.repartition(4), ["k"], ["seq"], limit=limit)
+        last = op.last_rows(df.repartition(4), ["k"], ["seq"], rare=True, limit=limit)
         got = last.toPandas().set_index("k")["v"]
         assert len(got) == len(want) and got.sort_index().tolist() == want.sort_index().tolist()
     plan = last._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.rindex("Exchange hashpartitioning") :]
     assert "Aggregate" not in below
+    # places have many rows each: these still combine before the shuffle
+    plan = op.last_rows(df, ["k"], ["seq"])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Exchange hashpartitioning") :]
