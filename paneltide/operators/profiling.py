@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from paneltide.functions.quantiles import quantiles
 from paneltide.functions.scalar import hemisphere_zone
+from paneltide.session import materialized
 from paneltide.spec import WEATHER, PanelSpec
 
 
@@ -127,8 +128,9 @@ def zero_inflation(
     df: DataFrame, spec: PanelSpec = WEATHER, amount: str = "precip_mm"
 ) -> DataFrame:
     """Per country: share of dry rows, and a summary of the wet ones."""
-    known = df.where(F.col(amount).isNotNull()).select(
-        F.col(spec.country), F.col(amount), F.when(F.col(amount) > 0, F.col(amount)).alias("wet")
+    # Read for the sizes of groups, the quantiles and the rest.
+    known = materialized(df.where(F.col(amount).isNotNull()).select(spec.country, amount)).withColumn(
+        "wet", F.when(F.col(amount) > 0, F.col(amount))
     )
     base = known.groupBy(spec.country).agg(
         F.count(F.lit(1)).alias("n_days"),
