@@ -170,7 +170,8 @@ def box_stats(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 def monthly_band(df: DataFrame, spec: PanelSpec = WEATHER, value: str | None = None) -> DataFrame:
     """Median and quartiles over all rows of each month."""
     value = value or spec.value
-    dated = df.withColumn("month", F.to_date(F.date_trunc("month", spec.time)))
+    month = F.to_date(F.date_trunc("month", spec.time)).alias("month")
+    dated = materialized(df.select(month, value))  # read for the sizes of groups and for the quantiles
     points = quantiles(dated, ["month"], [value], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return points.where(F.col(f"{value}__n") > 0).select(
         "month", *[F.col(f"{value}__{q}").alias(q) for q in ("q1", "median", "q3")]
