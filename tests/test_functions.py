@@ -7,7 +7,7 @@ from paneltide.functions.skew import by_group_size
 from paneltide.functions.joins import attach
 from paneltide.functions.positions import numbered_ranges, with_positions
 from paneltide.functions.quantiles import FINE, order_bucket, quantiles, ranks_of_counts, value_counts
-from paneltide.functions.scalar import air_quality_label, band, climate_zone, hemisphere_zone, season
+from paneltide.functions.scalar import air_quality_label, band, climate_zone, hemisphere_zone, rounded, season
 from paneltide.spec import PanelSpec
 
 
@@ -186,3 +186,13 @@ def test_a_hot_day_and_rows_without_time_are_spread_over_ranges(spark):
     finally:
         spark.conf.unset(key)
     assert len(parts) == 4 and max(r["count"] for r in parts) < len(rows) * 0.4
+
+
+def test_rounding_in_doubles_goes_away_from_zero_at_halves(spark):
+    values = [0.5, -0.5, 2.5, -2.5, 1.4999999, 0.0, 3e15 + 0.5, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 0)).collect()]
+    assert got[:6] == [1, -1, 3, -3, 1, 0] and got[6] == round(values[6] + 0.25)
+    assert got[7] == float("inf") and got[8] != got[8] and got[9] is None
+    decimals = np.round(np.random.default_rng(5).normal(0, 1e4, 2000), 6).tolist()
+    frame = spark.createDataFrame([(v,) for v in decimals], "v double").select("v", rounded(F.col("v") + 1e-9, 6).alias("r"))
+    assert frame.where("v != r").count() == 0
