@@ -6,6 +6,7 @@ from paneltide.operators import features as op
 from paneltide.operators import profiling, regions
 from paneltide.plans.bindings import PANEL, country_regions, table
 from paneltide.plans.catalog.base import ORACLES, gated, query, sql
+from paneltide.session import materialized
 from paneltide.spec import LAGGED_EXOGENOUS, LAGS, WINDOWS
 
 _ID = "country:s location_name:s last_updated:t"
@@ -87,9 +88,16 @@ def lagged_exogenous(spark, sf):
     return op.add_lagged_exogenous(gated(spark, sf), PANEL).select(*_names(f"{_ID} {_EXOG_OUT}"))
 
 
+#: What features are made from; no other column is carried.
+_SOURCES = (*PANEL.order, PANEL.latitude, _Y, *LAGGED_EXOGENOUS, "wind_degree")
 _ALL_OUT = f"{_ID} {_CAL} {_CYCLE_OUT} {_LAGS_OUT} {_ROLLS_OUT} {_EXOG_OUT}"
 
 
+def _rows(spark, sf):
+    """Written once: series are counted, then long and short ones read, ranges drawn and filled."""
+    return materialized(gated(spark, sf, *_SOURCES))
+
+
 @query(
     "build_features",
     sql(
@@ -99,13 +107,13 @@ _ALL_OUT = f"{_ID} {_CAL} {_CYCLE_OUT} {_LAGS_OUT} {_ROLLS_OUT} {_EXOG_OUT}"
     ),
 )
 def build_features(spark, sf):
-    return op.build_features(gated(spark, sf), PANEL).select(*_names(_ALL_OUT))
+    return op.build_features(_rows(spark, sf), PANEL).select(*_names(_ALL_OUT))
 
 
 @query("build_features_in_blocks", ORACLES["build_features"])
 def build_features_in_blocks(spark, sf):
     """The way of series too long for a task, taken by all of them, in blocks short enough for several a series."""
-    made = op.build_features(gated(spark, sf), PANEL, limit=0, block_rows=128)
+    made = op.build_features(_rows(spark, sf), PANEL, limit=0, block_rows=128)
     return made.select(*_names(_ALL_OUT))
 
 

@@ -64,3 +64,9 @@ def test_small_training_tables_are_fitted_in_few_tasks(spark):
     assert panel_model._fitted(spark.range(1000).repartition(16), Counting) == 1
     assert panel_model._fitted(spark.range(3 * panel_model.TASK_ROWS).repartition(16), Counting) == 3
     assert panel_model._fitted(spark.range(0), Counting) == 1
+
+
+@pytest.mark.parametrize("name", ["build_features", "build_features_in_blocks"])
+def test_features_carry_only_what_they_are_made_from(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "air_quality" not in plan and "gust_kph" not in plan
