@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import cleaning as op
 from paneltide.plans.bindings import PANEL, panel
 from paneltide.plans.catalog.base import ORACLES, gated, query, sql
+from paneltide.session import materialized
 from paneltide.sources import raw
 from paneltide.spec import BOUNDS, CONCENTRATIONS, INDICES, METRICS
 
@@ -136,16 +137,25 @@ def _names(columns):
     return [item.rsplit(":", 1)[0] for item in columns.split()]
 
 
+#: The columns that are filled, and the order of rows.
+_SOURCES = (*PANEL.order, *METRICS, *CONCENTRATIONS, *INDICES, "condition_text")
+
+
+def _rows(spark, sf):
+    """Written once: series are counted, then long and short ones read, ranges drawn and filled."""
+    return materialized(gated(spark, sf, *_SOURCES))
+
+
 @query("impute_missing", sql(IMPUTED, _IMPUTED_OUT, "imputed"))
 def impute_missing(spark, sf):
-    filled = op.impute_missing(gated(spark, sf), PANEL)
+    filled = op.impute_missing(_rows(spark, sf), PANEL)
     return _wide_indices(filled).select(*_names(_IMPUTED_OUT))
 
 
 @query("impute_missing_in_blocks", ORACLES["impute_missing"])
 def impute_missing_in_blocks(spark, sf):
     """The way of series too long for a task, taken by all of them, in blocks short enough for several a series."""
-    filled = op.impute_missing(gated(spark, sf), PANEL, limit=0, block_rows=128)
+    filled = op.impute_missing(_rows(spark, sf), PANEL, limit=0, block_rows=128)
     return _wide_indices(filled).select(*_names(_IMPUTED_OUT))
 
 
