@@ -170,16 +170,18 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
         rows.join(classes, "fp")
         .groupBy(F.col("doc_id").alias(key))
         .agg(F.count("*").alias("n"), F.count_if(lowest).alias("smallest"))
-        .where("smallest > 0")
+        .where("smallest = 0 or n > 1")
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(key))
-    # Texts meet a list of ids, which no group of copies makes uneven, and are not fingerprinted again.
-    once = docs.join(ids.where("n = 1").select(key), same, "left_semi")
-    if ids.where("n > 1").isEmpty():
+    # Texts meet the list of the ids that do not simply stay, far fewer than the others, so that it is sent to
+    # the tasks up to Spark's own limit and the texts are not shuffled; they are not fingerprinted again.
+    once = docs.join(ids.select(key), same, "left_anti")
+    twice = ids.where("n > 1 and smallest > 0").select(key)
+    if twice.isEmpty():
         return once
     # Rows that share an id may lie in different classes: only their fingerprints tell.
-    shared = docs.join(ids.where("n > 1").select(key), same, "left_semi")
+    shared = docs.join(twice, same, "left_semi")
     named = with_fingerprints(shared, text, fp, options.get("shingle", SHINGLE))
     classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(low))
     first = named.join(classes, fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(low)))

@@ -107,6 +107,20 @@ def test_an_id_in_two_classes_keeps_only_its_own(make):
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, one), (5, two), (9, "k l m n o")]
 
 
+def test_texts_are_not_shuffled_to_leave_out_a_few(spark, make):
+    rng = random.Random(6)
+    rows = [(k, " ".join(str(rng.random()) for _ in range(8))) for k in range(6000)]
+    rows.append((6000, rows[0][1]))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 15))  # the ids that stay take more
+    try:
+        kept = M.keep_one(make(rows))
+        assert kept.count() == 6000
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(0, 60).selectExpr("id as a", "id + 1 as b")
     got = components(edges.union(spark.createDataFrame([(200, 100), (100, 150), (7, 7)], "a long, b long"))).collect()
