@@ -181,15 +181,22 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Medians, and median deviations on the diagonal."""
-    tall = rows.select(*keys, F.posexplode(F.array(*VECTOR)).alias("_i", "_x"))
     by = [*keys, "_i"]
-    median = materialized(_quantile(tall, by, F.col("_x"), 0.5, "_m", 1 / 64))
-    near = tall.join(_small(median), by)
-    spread = _quantile(near, by, F.abs(F.col("_x") - F.col("_m")), 0.5, "_d", 1 / 64)
-    pick = [F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"m{i}") for i in range(D)]
-    pick += [F.max(F.when(F.col("_i") == i, F.col("_d") * 1.4826 + FLOOR[i])).alias(f"l{i}{i}") for i in range(D)]
+
+    def order_statistic(table: DataFrame, values: list[Column]) -> DataFrame:
+        tall = table.select(*keys, F.posexplode(F.array(*values)).alias("_i", "_x"))
+        return _quantile(tall, by, F.col("_x"), 0.5, "_q", 1 / 64).groupBy(*keys)
+
+    def of(i: int) -> Column:
+        return F.max(F.when(F.col("_i") == i, F.col("_q")))
+
+    median = order_statistic(rows, [F.col(v) for v in VECTOR])
+    median = materialized(median.agg(*[of(i).alias(f"m{i}") for i in range(D)]))
+    off = [F.abs(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(VECTOR)]
+    spread = order_statistic(rows.join(_small(median), keys), off)
+    spread = spread.agg(*[(of(i) * 1.4826 + FLOOR[i]).alias(f"l{i}{i}") for i in range(D)])
     zeros = [F.lit(0.0).alias(f"l{i}{j}") for i in range(D) for j in range(i)]
-    return median.join(spread, by).groupBy(*keys).agg(*pick).select("*", *zeros)
+    return median.join(spread, keys).select("*", *zeros)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -241,29 +248,29 @@ def judged(
     )
     stats = materialized(with_vector(with_statistics(narrow, "_text").drop("_text")))
     rows = stats.where(~F.col("base_failed")).select("_lang", "_source", *VECTOR)
-    sizes = materialized(rows.groupBy("_lang", "_source").agg(F.count("*").alias("_n")))
+    # A long key for each group: a table that is sent to every task and joined by one long takes an executor
+    # its few rows, one joined by texts a whole page of Spark's memory (32 MB on small executors).
+    sizes = rows.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
+    sizes = materialized(sizes.withColumn("_k", F.monotonically_increasing_id()))
     # groups of their own, then languages, then all rows
-    large = sizes.where(F.col("_n") >= least).select("_lang", "_source")
-    langs = sizes.groupBy("_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select("_lang")
-    every = sizes.agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select(F.lit(True).alias("_every"))
-    levels = rows.join(_small(large), ["_lang", "_source"]).select(F.col("_lang").alias("_g"), F.col("_source").alias("_h"), *VECTOR)
-    levels = levels.union(rows.join(_small(langs), "_lang").select("_lang", F.lit("*"), *VECTOR))
+    large = sizes.where(F.col("_n") >= least).select("_lang", "_source", "_k")
+    langs = sizes.groupBy("_lang").agg(F.sum("_n").alias("_n"), (-F.min("_k") - 2).alias("_k"))
+    langs = langs.where(F.col("_n") >= least).select("_lang", "_k")
+    every = sizes.agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least)
+    all_rows = F.lit(-1).cast("long")
+    levels = rows.join(_small(large), ["_lang", "_source"]).select("_k", *VECTOR)
+    levels = levels.union(rows.join(_small(langs), "_lang").select("_k", *VECTOR))
     if not every.isEmpty():
-        levels = levels.union(rows.select(F.lit("*"), F.lit("*"), *VECTOR))
-    found = covariance_estimates(materialized(levels), ["_g", "_h"])
+        levels = levels.union(rows.select(all_rows.alias("_k"), *VECTOR))
+    found = covariance_estimates(materialized(levels), ["_k"])
     # which estimate each pair of language and source uses
     use = (
         stats.select("_lang", "_source").distinct()
-        .join(large.withColumn("_own", F.lit(True)), ["_lang", "_source"], "left")
-        .join(langs.withColumn("_by_lang", F.lit(True)), "_lang", "left")
-        .select(
-            "_lang",
-            "_source",
-            F.when(F.col("_own") | F.col("_by_lang"), F.col("_lang")).otherwise("*").alias("_g"),
-            F.when(F.col("_own"), F.col("_source")).otherwise("*").alias("_h"),
-        )
+        .join(large.withColumnRenamed("_k", "_own"), ["_lang", "_source"], "left")
+        .join(langs.withColumnRenamed("_k", "_by_lang"), "_lang", "left")
+        .select("_lang", "_source", F.coalesce("_own", "_by_lang", all_rows).alias("_k"))
     )
-    chosen = materialized(use.join(found, ["_g", "_h"], "left").drop("_g", "_h"))
+    chosen = materialized(use.join(found, "_k", "left").drop("_k"))
     out = stats.join(_small(chosen), ["_lang", "_source"])
     out = out.withColumn("distance", _squared_distance() / F.col("scale"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))

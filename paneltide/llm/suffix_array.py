@@ -32,6 +32,8 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: Bytes of training text in one shard.
 SHARD_BYTES = 2 << 20
+#: Bytes whose powers and running sums are held at a time, unless one word alone is longer.
+PIECE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -78,10 +80,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = POWERS.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
+    """Hashes of the words, which depend on their bytes alone. ``starts`` and ``ends`` ascend."""
+    value = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        stop = max(first + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
+        begin, end = starts[first:stop] - base, ends[first:stop] - base
+        piece = data[base : base + int(end[-1])]
+        up, down = POWERS.upto(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+        value[first:stop] = (total[end] - total[begin]) * down[begin]
+        first = stop
     return value ^ (value >> np.uint64(29))
 
 

@@ -128,3 +128,16 @@ def test_windows_whose_hashes_agree_are_told_apart(make, monkeypatch):
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.shiftleft(F.pmod(true_hash(*c), F.lit(4)), 60))
     got = {r.doc_id: r.n_repeat_words for r in O.with_statistics(make(rows)).collect()}
     assert got == {i: plain(t)[4] for i, t in rows}
+
+
+def test_estimates_are_joined_by_one_long(make, monkeypatch):
+    seen = []
+    plain = O._small
+    monkeypatch.setattr(O, "_small", lambda table: seen.append(dict(table.dtypes)) or plain(table))
+    lang = F.when(F.col("doc_id") % 3 == 0, "fr").when(F.col("doc_id") % 3 == 1, "en")
+    docs = make([(i, " ".join(f"w{i * j % 97}" for j in range(60 + i))) for i in range(60)], lang=lang)
+    assert O.judged(docs, ("doc_id",), least=10).where("distance is null").count() == 0
+    # a join by texts takes a page of memory in each executor: only the lists of groups and the last one may
+    by_text = [t for t in seen if "string" in t.values()]
+    assert len(by_text) <= 3 and len(seen) - len(by_text) >= 2 * O.STEPS
+    assert all(t["_k"] == "bigint" for t in seen if t not in by_text)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -72,3 +73,22 @@ def test_suffix_array_sorts_suffixes(values):
     array = np.array(values, dtype=np.int64)
     order = S.suffix_array(array, len(values)).tolist()
     assert order == sorted(range(len(values)), key=lambda i: values[i:])
+
+
+def test_word_hashes_hold_a_piece_at_a_time(monkeypatch):
+    words = [b"w%d" % (k % 977) for k in range(200_000)]
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    starts, ends = S.word_spans(data, np.array([0, len(data)]))
+    monkeypatch.setattr(S, "POWERS", S.Powers())
+    tracemalloc.start()
+    got = S.word_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and len(S.POWERS.up) <= S.PIECE_BYTES + 1
+    mask = (1 << 64) - 1
+    for k in [0, 1, 976, 977, len(words) // 2, len(words) - 1]:
+        value = sum((b + 1) * pow(S.Powers.BASE, p, 1 << 64) for p, b in enumerate(words[k])) & mask
+        assert got[k] == value ^ (value >> 29)
+    assert len(np.unique(got)) == 977
+    monkeypatch.setattr(S, "PIECE_BYTES", 2)  # every word is longer
+    assert (S.word_hashes(data[:50], starts[:10], ends[:10]) == got[:10]).all()
