@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.functions.quantiles import quantiles
+from paneltide.functions.quantiles import quantiles_of_counts, value_counts
 from paneltide.functions.scalar import AIR_QUALITY_LABELS, air_quality_label
 from paneltide.operators.regions import ensure_region
 from paneltide.session import materialized
@@ -62,24 +62,35 @@ def binned_median(
     Bins are closed on the right and cut at exact linear quantiles; equal cuts merge.
     """
     drivers = [d for d in drivers if d in df.columns]
-    pairs = materialized(
-        df.select(
-            F.col(pollutant).alias("y"),
-            F.inline(
-                F.array(*[F.struct(F.lit(d).alias("driver"), F.col(d).alias("x")) for d in drivers])
-            ),
-        )
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # Rows are written once, not once for each driver, and read twice: both times they become counts of
+    # values before the shuffle, from which sizes, cuts and medians follow.
+    rows = materialized(
+        df.select(F.col(pollutant).alias("y"), *drivers).where(F.col("y").isNotNull())
     )
     cuts = {f"c{i}": i / bins for i in range(bins + 1)}
-    edges = quantiles(pairs, ["driver"], ["x"], cuts).select(
-        "driver", F.array_distinct(F.array(*[f"x__{c}" for c in cuts])).alias("edges")
+    values = materialized(value_counts(rows, [], drivers))
+    edges = quantiles_of_counts(values, ["column"], cuts).select(
+        F.col("column").alias("driver"), F.array_distinct(F.array(*cuts)).alias("edges")
     )
+    edges = materialized(edges)
+    pairs = rows.select(
+        "y",
+        F.inline(
+            F.array(*[F.struct(F.lit(d).alias("driver"), F.col(d).cast("double").alias("x")) for d in drivers])
+        ),
+    ).where(F.col("x").isNotNull())
     # One row per driver: a lookup table of a few rows by construction.
     placed = pairs.join(F.broadcast(edges), "driver").where(F.size("edges") > 1)
     above = F.size(F.filter("edges", lambda e: e < F.col("x")))
-    placed = placed.withColumn("bin_rank", F.greatest(above, F.lit(1)))
-    medians = quantiles(placed, ["driver", "bin_rank"], ["y"], {"median": 0.5})
+    placed = placed.select(
+        "driver", F.greatest(above, F.lit(1)).alias("bin_rank"), F.col("y").cast("double").alias("v")
+    )
+    by_bin = ["driver", "bin_rank"]
+    counts = materialized(placed.groupBy(*by_bin, "v").agg(F.count(F.lit(1)).alias("n")))
+    known = ~F.isnan("v")
+    sizes = counts.groupBy(*by_bin).agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("y__n"))
+    found = quantiles_of_counts(counts.where(known), by_bin, {"y__median": 0.5}).drop("total")
+    medians = sizes.join(found, by_bin, "left")
     lookup = medians.join(F.broadcast(edges), "driver")
     present_rank = F.row_number().over(Window.partitionBy("driver").orderBy("bin_rank"))
     return lookup.select(

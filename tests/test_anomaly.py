@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import anomaly as op
 from paneltide.operators import correlation, isolation, panel_model, seasonal
+from paneltide.operators import air_quality
 from paneltide.operators.air_quality import binned_median
 from paneltide.operators.neighbours import in_parts, local_outlier_factor
 from paneltide.sources.sinks import write_anomalies
@@ -192,6 +193,35 @@ def test_binned_median_merges_equal_cuts(spark):
     assert got["n"].tolist() == want["count"].tolist()
 
 
+def test_binned_median_writes_rows_once(spark, monkeypatch):
+    sizes = []
+    plain = air_quality.materialized
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(air_quality, "materialized", counted)
+    data = [(float(i % 50), float(i % 4), float(i % 7)) for i in range(1000)]
+    data += [(60.0, None, float("nan")), (1.0, 2.0, None)]
+    names = ["wind_kph", "precip_mm", "air_quality_pm2_5"]
+    got = binned_median(spark.createDataFrame(data, names)).orderBy("driver", "bin_rank").collect()
+    # the rows once, not once for each driver; after that only counts
+    assert sizes[0] == 1001 and max(sizes[1:]) < 100
+    known = [r for r in data if r[2] is not None]
+    want = []
+    for k, driver in ((1, "precip_mm"), (0, "wind_kph")):
+        pairs = np.array([(r[k], r[2]) for r in known if r[k] is not None])
+        edges = np.unique(np.quantile(pairs[:, 0], np.linspace(0, 1, 6)))
+        bins = np.maximum(np.searchsorted(edges, pairs[:, 0]), 1)
+        for rank, b in enumerate(np.unique(bins), 1):
+            y = pairs[bins == b, 1]
+            y = y[~np.isnan(y)]
+            want.append((driver, edges[b - 1], edges[b], rank, len(y), np.median(y)))
+    assert [tuple(r) for r in got] == want
+
+
 def test_decomposition_isolates_a_spike():
     t = np.arange(60)
     y = 10 * np.sin(2 * np.pi * t / 12) + 0.1 * t + np.random.default_rng(8).normal(0, 1, 60)
