@@ -100,7 +100,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])).alias("t", "key")
     )
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialized(keyed.join(sizes, ["t", "key"]))
+    # Spark sizes an exploded table like the one before, a 31st of it, and would send it to every task.
+    members = materialized(keyed.join(sizes.hint("merge"), ["t", "key"]))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def reach(groups: pa.Array) -> pa.Array:

@@ -72,6 +72,18 @@ def test_links_give_the_components_of_all_pairs(spark):
         assert len(pairs) == len(set(want)) == len(set(got))
 
 
+def test_buckets_are_not_broadcast_however_small_they_seem(spark, monkeypatch):
+    plans, write = [], M.materialized
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(M, "materialized", noted)
+    M.links(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_classes_and_the_one_that_stays(spark, make):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(500)]
