@@ -143,7 +143,7 @@ _SOURCES = (*PANEL.order, *METRICS, *CONCENTRATIONS, *INDICES, "condition_text")
 
 def _rows(spark, sf):
     """Written once: series are counted, then long and short ones read, ranges drawn and filled."""
-    return materialized(gated(spark, sf, *_SOURCES))
+    return materialized(gated(spark, sf, *_SOURCES), release=True)
 
 
 @query("impute_missing", sql(IMPUTED, _IMPUTED_OUT, "imputed"))

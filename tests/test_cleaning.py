@@ -124,3 +124,23 @@ def test_keep_last_sends_rows_unsorted_but_combines_a_heavy_key(spark):
     # places have many rows each: these still combine before the shuffle
     plan = op.last_rows(df, ["k"], ["seq"])._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" in plan[plan.rindex("Exchange hashpartitioning") :]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_windowed_rows_are_not_shuffled_to_be_joined(spark):
+    df = series(spark, "a", BOTH[0]).unionByName(series(spark, None, SHORT))
+    got = op.impute_missing(df, SPEC, limit=0, block_rows=3).orderBy("t").toPandas()
+    assert got[got.k.isna()]["humidity"].tolist() == SHORT_BOTH
+    assert got[got.k == "a"]["humidity"].tolist() == BOTH[1]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(op._neighbours_in_blocks(df, ["humidity"], SPEC, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    join = plan[plan.index("SortMergeJoin") :]
+    assert "_series" in join.split("\n")[0]
+    assert "Window" in join[: join.index("Exchange")]  # nothing between them
