@@ -178,7 +178,7 @@ _FLAGS = [f"{c}_is_outlier" for c in METRICS]
 
 @query("flag_outliers", sql(_flag_ctes("gated"), f"{_ID} {_kinds(_FLAGS, 'b')}", "flagged"))
 def flag_outliers(spark, sf):
-    return op.flag_outliers(gated(spark, sf, *METRICS), PANEL).select(*_KEYS, *_FLAGS)
+    return op.flag_outliers(materialized(gated(spark, sf, *METRICS), release=True), PANEL).select(*_KEYS, *_FLAGS)
 
 
 @query(

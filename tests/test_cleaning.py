@@ -144,3 +144,29 @@ def test_blocks_of_windowed_rows_are_not_shuffled_to_be_joined(spark):
     join = plan[plan.index("SortMergeJoin") :]
     assert "_series" in join.split("\n")[0]
     assert "Window" in join[: join.index("Exchange")]  # nothing between them
+
+
+def test_outlier_flags_are_the_same_both_ways_and_rows_are_sent_once(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in ("a", "b", None):
+        for i in range(60):
+            v = None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(rng.integers(0, 6)) + 90.0 * (i % 17 == 1)
+            rows.append((k, None if i == 7 else f"2024-0{1 + i % 3}-{1 + i // 3:02d}", i, v, 1.0))
+    df = spark.createDataFrame(rows, "k string, t string, seq int, temperature_celsius double, humidity double")
+    df = df.withColumn("t", F.to_timestamp("t"))
+    one, two = (op.flag_outliers(df, SPEC, limit=limit) for limit in (10**6, 0))
+    assert one.columns == two.columns
+    got = one.orderBy("seq", "k").collect()
+    assert str(got) == str(two.orderBy("seq", "k").collect())
+    for r in got:
+        same = [x for x in rows if x[0] == r.k and r.t is not None and x[1] and x[1][:7] == f"{r.t:%Y-%m}"]
+        known = np.array([x[3] for x in same if x[3] is not None and x[3] == x[3]])
+        mad = np.median(np.abs(known - np.median(known))) if len(known) else 0
+        v = r.temperature_celsius
+        z = 0.6745 * (v - np.median(known)) / mad if mad > 0 and v is not None else 0.0
+        want = r.k is not None and mad > 0 and v is not None and (v != v or abs(z) > 3.5)
+        assert r.temperature_celsius_is_outlier == want and not r.humidity_is_outlier
+    assert any(r.temperature_celsius_is_outlier for r in got)
+    plan = plan_of(one)
+    assert "Join" not in plan and plan.count("Exchange") == 1
