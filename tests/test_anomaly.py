@@ -165,6 +165,31 @@ def test_spearman_is_the_same_for_columns_of_few_and_many_values(spark, lookup):
         assert got.loc[(x, y), "spearman"] == pytest.approx(both.rank().corr().iloc[0, 1])
 
 
+def test_ranks_of_many_values_come_from_pieces_also_of_one_heavy_value(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    df = pd.DataFrame({"a": rng.normal(size=900), "b": rng.integers(0, 5, 900) * 1.0, "one": 3.0})
+    df.loc[rng.random(900) < 0.5, "a"] = 0.25  # holds several pieces
+    df["d"] = np.where(rng.random(900) < 0.4, -7.0, df["a"] + rng.normal(size=900))
+    df.loc[3, "d"] = np.inf
+    for c in "abd":
+        df.loc[rng.random(900) < 0.2, c] = None
+    df["e"] = df["b"].where(df["a"].notna(), 2.0)
+    table = spark.createDataFrame(df).repartition(3)
+    plans, collect = [], correlation._joined_up
+    monkeypatch.setattr(correlation, "_joined_up", lambda p, n: plans.append(p._jdf.queryExecution().toString()) or collect(p, n))
+    for lookup in (0, 100):
+        got = correlation.spearman(table, [(x, y) for x in df for y in df if x < y], lookup, piece=40).toPandas().set_index(["x", "y"])
+        for x, y in got.index:
+            both = df[[x, y]].dropna()
+            want = both.rank().corr().iloc[0, 1]
+            assert got.loc[(x, y), "n"] == len(both)
+            if np.isnan(want):
+                assert np.isnan(got.loc[(x, y), "spearman"])
+            else:
+                assert got.loc[(x, y), "spearman"] == pytest.approx(want)
+    assert plans and not any("Join" in p for p in plans)  # rows meet no table of ranks
+
+
 def test_pearson_keeps_large_means_apart_from_constant_and_endless_sides(spark):
     rng = np.random.default_rng(9)
     df = pd.DataFrame({"a": 1e9 + rng.normal(size=200), "part": rng.normal(size=200), "end": rng.normal(size=200)})
