@@ -7,6 +7,7 @@ from paneltide.operators import anomaly as op
 from paneltide.operators import correlation, isolation, panel_model, seasonal
 from paneltide.operators import air_quality
 from paneltide.operators.air_quality import binned_median
+from paneltide.operators import neighbours
 from paneltide.operators.neighbours import in_parts, local_outlier_factor
 from paneltide.sources.sinks import write_anomalies
 from paneltide.spec import PanelSpec
@@ -110,6 +111,20 @@ def test_factors_of_all_rows(spark, block, chunk):
     assert np.allclose(have, brute_factors(x, 6), rtol=1e-7)
 
 
+def test_groups_of_points_meet_their_blocks_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(600, 3)), 1e16 * rng.normal(size=(30, 3))])  # some too large for single precision
+    points = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "id long, x array<double>, w long")
+    rounds, write = [], neighbours.materialized_in_turn
+    monkeypatch.setattr(neighbours, "materialized_in_turn", lambda parts: write(rounds.append(p) or p for p in parts))
+    got = neighbours.nearest(points, 5, block=16).toPandas()
+    assert len(rounds) > 1
+    near = (got.groupby("id")["square"].max() ** 0.5).sort_index().to_numpy()
+    every = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    assert np.allclose(near, every[:, 5]) and (got.groupby("id").size() >= 5).all()
+    assert len(set(neighbours._apart(spark, 9))) == 9
+
+
 def test_factors_of_few_rows(spark):
     kind = "country string, location_name string, last_updated long, _x array<double>"
     one = [("A", "p", 1, [1.0, 2.0])]
